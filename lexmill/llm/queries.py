@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import bpe, splitting
+from lexmill.llm import bpe, documented, splitting, syntax
 from lexmill.session import read_table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_pairs(spark, d).select("file_id", "line_no")
+
+
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return documented.documented(read_table(spark, d, "source_files"), read_table(spark, d, "docstring_items"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized(read_table(spark, d, "chunks"), read_table(spark, d, "parents"), read_table(spark, d, "categories"))
 
@@ -18,14 +26,31 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.corpus_pieces(read_table(spark, d, "chunks"), read_table(spark, d, "parents"), read_table(spark, d, "categories"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.not_parsing(read_table(spark, d, "source_files"), read_table(spark, d, "docstring_items"))
+
+
+def p4_files(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.check_files(read_table(spark, d, "source_files"))
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(read_table(spark, d, "source_files"), read_table(spark, d, "docstring_items"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(read_table(spark, d, "documents"), keep=["doc_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_pairs": p1_pairs,
         "p2_found": p2_found,
         "p2_pieces": p2_pieces,
+        "p4_found": p4_found,
+        "p4_files": p4_files,
+        "p4_rates": p4_rates,
         "p6_ids": p6_ids,
     }
 
