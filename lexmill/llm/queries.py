@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import bpe, documented, splitting, syntax
+from lexmill.llm import bpe, documented, neardup, splitting, syntax
 from lexmill.session import read_table
 
 
@@ -26,6 +26,15 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.corpus_pieces(read_table(spark, d, "chunks"), read_table(spark, d, "parents"), read_table(spark, d, "categories"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_pairs(read_table(spark, d, "chunks")).select("id_a", "id_b")
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    chunks = read_table(spark, d, "chunks")
+    return neardup.groups(chunks, neardup.similar_pairs(chunks))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return syntax.not_parsing(read_table(spark, d, "source_files"), read_table(spark, d, "docstring_items"))
 
@@ -48,6 +57,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_pairs": p1_pairs,
         "p2_found": p2_found,
         "p2_pieces": p2_pieces,
+        "p3_found": p3_found,
+        "p3_groups": p3_groups,
         "p4_found": p4_found,
         "p4_files": p4_files,
         "p4_rates": p4_rates,
