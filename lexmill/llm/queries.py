@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import bpe, documented, neardup, splitting, syntax
+from lexmill.llm import boilerplate, bpe, documented, neardup, splitting, syntax
 from lexmill.session import read_table
 
 
@@ -47,6 +47,14 @@ def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.rates(read_table(spark, d, "source_files"), read_table(spark, d, "docstring_items"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.furniture_lines(read_table(spark, d, "chunks")).select("id", "line_no")
+
+
+def p5_articles(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.articles(read_table(spark, d, "chunks"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(read_table(spark, d, "documents"), keep=["doc_id"])
 
@@ -62,6 +70,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": p4_found,
         "p4_files": p4_files,
         "p4_rates": p4_rates,
+        "p5_found": p5_found,
+        "p5_articles": p5_articles,
         "p6_ids": p6_ids,
     }
 
