@@ -371,10 +371,16 @@ def is_page(path: Column) -> Column:
 
 
 def train(chunks: DataFrame, pages: int = TRAIN_PAGES) -> Model:
-    """The model of at most ``pages`` saved pages, those of the smallest hash of their id."""
-    order = F.xxhash64("id")
-    some = chunks.where(is_page(F.col("source_path")) & F.col("text").isNotNull()).select("text", order.alias("o")).orderBy("o", "text").limit(pages).collect()  # bounded by `pages`
-    return fit([r["text"] for r in some])
+    """The model of at most ``pages`` saved pages, chosen by a hash of their id."""
+    saved = _pages(chunks)
+    n = saved.count()
+    if not n:
+        return fit([])
+    # A threshold on the hash, so that no task sends more than its share.
+    grain = 1 << 40
+    least = math.ceil(grain * min(1.0, pages / n))
+    some = saved.select("id", "text").where(F.pmod(F.xxhash64("id"), F.lit(grain)) < least).collect()  # about `pages` rows
+    return fit([r["text"] for r in sorted(some)[:pages]])
 
 
 def _decide(model_of, keep_lines: bool):
