@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import boilerplate, bpe, documented, neardup, splitting, syntax
+from lexmill.llm import boilerplate, bpe, documented, mixing, neardup, quality, splitting, syntax
 from lexmill.session import read_table
 
 
@@ -59,6 +59,22 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(read_table(spark, d, "documents"), keep=["doc_id"])
 
 
+def p7_drawn(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))[1]
+
+
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_quality(read_table(spark, d, "documents"), keep=["doc_id"])
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(p8_statistics(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -73,6 +89,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": p5_found,
         "p5_articles": p5_articles,
         "p6_ids": p6_ids,
+        "p7_drawn": p7_drawn,
+        "p7_shares": p7_shares,
+        "p8_found": p8_found,
+        "p8_statistics": p8_statistics,
     }
 
 
