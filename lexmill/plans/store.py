@@ -10,6 +10,7 @@ import time
 import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("chunks", "parents", "postings", "doc_stats", "term_stats", "corpus_stats", "features", "manifest", "category_stats", "settings")
@@ -33,6 +34,8 @@ class SnapshotStore:
         stream = fs.open(pointer)
         try:
             name = bytes(stream.readAllBytes()).decode().strip()
+        except (Py4JJavaError, UnicodeDecodeError):
+            return None
         finally:
             stream.close()
         return f"{self.root}/{name}" if name and fs.exists(self._path(name)) else None
