@@ -250,6 +250,7 @@ def label_lines(lines: list[Line]) -> list[int | None]:
             goes_on = j < len(lines) and lines[j].block == x.block and lines[j].kind == "sentence" and out[j] == 0
             if j - i > 2 and lines[j - 1].kind == "short" and (goes_on or lines[j - 1].bare in _SECTION and "early" not in lines[j - 1].repeat):
                 out[j - 1] = 0
+    navigated = {x.block for x in lines if x.bare in _NAV}
     for i, x in enumerate(lines):
         if out[i] is not None or x.kind not in ("item", "short"):
             continue
@@ -260,7 +261,7 @@ def label_lines(lines: list[Line]) -> list[int | None]:
             out[i] = out[x.parent]
         elif x.kind == "short" and after is not None and (after.kind == "sentence" and out[i + 1] == 0 or after.kind in ("table", "code")):
             out[i] = 0
-        elif x.kind == "item" and x.edge.startswith("block") and not any(y.bare in _NAV for y in lines if y.block == x.block):
+        elif x.kind == "item" and x.edge.startswith("block") and x.block not in navigated:
             out[i] = 0
     return out
 

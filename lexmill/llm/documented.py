@@ -184,7 +184,8 @@ def python_functions(text: str) -> list[tuple]:
             gone = stack.pop()
             if gone[3] is not None:
                 items[gone[3]][1] = end
-        end = line_at(flat.find("\n", m.end()) if "\n" in flat[m.end() :] else len(flat))
+        stop = flat.find("\n", m.end())
+        end = line_at(stop if stop >= 0 else len(flat))
         if m["def"]:
             bracket = flat.find("(", m.end())
             close = _close(flat, bracket)
@@ -233,7 +234,7 @@ def powershell_functions(text: str) -> list[tuple]:
     flat = _PS_MASK.sub(blank, text)
     starts = [0, *(m.end() for m in re.finditer("\n", text))]
     line_at = lambda at: bisect_right(starts, at)
-    ends = {line_at(b - 1): (a, b) for a, b in comments if not text[b : text.find("\n", b) if "\n" in text[b:] else len(text)].strip()}
+    ends = {line_at(b - 1): (a, b) for a, b in comments if re.compile(r"[ \t]*(?:\n|\Z)").match(text, b)}
     firsts = {a: (a, b) for a, b in comments}
     closes: dict[int, int] = {}
     stack: list[int] = []

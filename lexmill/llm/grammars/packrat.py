@@ -74,6 +74,7 @@ def _read(grammar: str) -> dict[str, list]:
 class _Code:
     def __init__(self, rules: dict, tokens: bool, sets: dict, regexes: dict):
         self.rules, self.tokens, self.sets, self.regexes, self.lines, self.n = rules, tokens, sets, regexes, [], 0
+        self.outermost = False
 
     def put(self, depth: int, line: str) -> None:
         self.lines.append(" " * depth + line)
@@ -132,6 +133,8 @@ class _Code:
                 got = self.expr(e[2], out, depth + 1, quiet)
                 self.put(depth + 1, f"if {got} <= {out}: break")
                 self.put(depth + 1, f"{out} = {got}")
+                if self.outermost:
+                    self.put(depth + 1, "forget()")
         else:
             raise ValueError(kind)
         return out
@@ -139,7 +142,12 @@ class _Code:
     def build(self, start: str) -> str:
         self.put(0, "def parse(S):")
         self.put(1, "far = 0")
+        # A repetition in the start rule is never taken back, so what was kept for it can go.
+        self.put(1, "def forget():")
+        for name in self.rules:
+            self.put(2, f"M_{name}.clear()")
         for name, e in self.rules.items():
+            self.outermost = name == start
             self.put(1, f"M_{name} = {{}}")
             self.put(1, f"def r_{name}(p):")
             self.put(2, "nonlocal far")

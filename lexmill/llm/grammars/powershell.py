@@ -11,7 +11,7 @@ from __future__ import annotations
 from lexmill.llm.grammars.packrat import compile_grammar
 
 GRAMMAR = """
-script <- ~bom~ ~nl~ (using ~nl~)* block_items ~end~
+script <- ~bom~ ~nl~ (using ~nl~)* (attributes ~nl~)? (params ~nl~)? (named_block ~nl~)* (statement terminator)* statement? ~nl~ ~end~
 using <- ~k_using~ ~ws~ ~to_line_end~
 block_items <- (attributes ~nl~)? (params ~nl~)? (named_block ~nl~)* (statement terminator)* statement? ~nl~
 terminator <- ~ws~ ~separator~ ~nl~

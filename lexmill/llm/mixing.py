@@ -135,11 +135,13 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     # Whole passes are taken as they are; of the last, random blocks up to the quota and a part of one block.
     rng = np.random.default_rng(seed)
     units: list[tuple[str, int, int, int]] = []  # source, pass, block, tokens allowed (-1: all)
+    blocks_of: dict[tuple[str, int], list[int]] = {}
+    for s, p, b in sums:
+        blocks_of.setdefault((s, p), []).append(b)
     for s in sorted(passes):
         left = quota[s] - (passes[s] - 1) * held[s][1]
         for p in range(1, passes[s] + 1):
-            own = sorted(b for (x, q, b) in sums if x == s and q == p)
-            for b in rng.permutation(own).tolist():
+            for b in rng.permutation(sorted(blocks_of[s, p])).tolist():
                 t = sums[s, p, b]
                 if p < passes[s] or t <= left:
                     units.append((s, p, b, -1))

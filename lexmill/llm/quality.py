@@ -60,7 +60,6 @@ _CELLS = re.compile(r"\t|;(?! |$)|\||,(?=[^\s,])| {3,}(?=\S)")
 _CODE = re.compile(r"[=(){}\[\]<>_\\]|::|->")
 _MARKS = re.compile(r"[^\w\s.,;:!?'\"()。，、；：！？-]")
 _DIGIT = re.compile(r"\d")
-_ODD_WORD = re.compile(r"\b(?=\w*[a-z])(?:[^\W_]*\d[^\W_]*|\w*[a-z][A-Z]\w*|\w+_\w+)\b")
 
 N_FEATURES = 12
 
