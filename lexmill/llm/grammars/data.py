@@ -95,8 +95,9 @@ def _toml_clash(text: str) -> int:
             nxt = table.get(k)
             if nxt is None:
                 nxt = table[k] = _Node("dotted")
-            elif not isinstance(nxt, _Node) or nxt.how != "dotted":
+            elif not isinstance(nxt, _Node) or nxt.how not in ("dotted", "implied"):
                 return False
+            nxt.how = "dotted"
             table = nxt
         if keys[-1] in table:
             return False

@@ -139,6 +139,8 @@ def lex(text: str) -> tuple[list[str], list[int]]:
 
     def literal_after(at: int, quote: str, raw: bool) -> int:
         """After a closed field: the literal it stood in, which may be a format spec."""
+        while specs and specs[-1][0] > depth:
+            specs.pop()
         spec = bool(specs and specs[-1] == (depth, quote))
         return literal(at, quote, raw, spec)
 

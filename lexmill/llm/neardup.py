@@ -41,9 +41,11 @@ HASH_BITS = 44
 SKETCH_BITS = 21  # counters of the sketch: its size does not grow with the data
 SKETCH_PARTS = 32
 GROUPS = 128
-LEAF = 32
+LEAF = 16
 #: Blocks up to this size are one node of the tree.
 NODE = 256
+#: Shingles of the texts whose leading ones go to one block partition.
+PART_SHINGLES = 4_000_000
 #: Words kept with their hash in a worker.
 WORD_CACHE = 500_000
 #: Buckets of the filter in front of the verification; bounds what is broadcast.
@@ -156,7 +158,8 @@ def _sum_sketch(batches):
             sums[part] = sums[part] + x if part in sums else x
     if sums:
         ranks = [np.minimum(63, np.floor(3 * np.log2(np.maximum(s, 1)))).astype(np.uint8).tobytes() for s in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(ranks, pa.binary())], names=["part", "ranks"])
+        totals = [int(s.sum()) for s in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(ranks, pa.binary()), pa.array(totals, pa.int64())], names=["part", "ranks", "total"])
 
 
 def _second_pass(ranks_of, parts: int, size: int, least: int, similarity: float):
@@ -247,11 +250,24 @@ class PointTree:
                 a2, b2 = (a[:, None] * LEAF + x.ravel()).ravel(), (b[:, None] * LEAF + y.ravel()).ravel()
                 ok = (a2 < below) & (b2 < below) & (a2 <= b2)
                 a, b = a2[ok], b2[ok]
-        x, y = (m.ravel() for m in np.meshgrid(np.arange(LEAF), np.arange(LEAF), indexing="ij"))
+        top, low, _, slack = self.levels[0]
+        at = np.arange(LEAF)
         for s in range(0, len(a), 512):
-            i, j = (a[s : s + 512, None] * LEAF + x).ravel(), (b[s : s + 512, None] * LEAF + y).ravel()
-            ok = (i < len(self.sizes)) & (j < len(self.sizes)) & (i < j)
-            yield self.order[i[ok]], self.order[j[ok]]
+            # Points of one leaf against the box of the other, then against its points.
+            i, b_ = (a[s : s + 512, None] * LEAF + at).ravel(), np.repeat(b[s : s + 512], LEAF)
+            ok = i < len(self.sizes)
+            i, b_ = i[ok], b_[ok]
+            shared = np.minimum(self.points[i], top[b_]).sum(axis=1, dtype=np.int64) + np.minimum(self.slack[i], slack[b_])
+            ok = shared >= self.need.overlap(self.sizes[i], low[b_])
+            i, b_ = i[ok], b_[ok]
+            j, i = (b_[:, None] * LEAF + at).ravel(), np.repeat(i, LEAF)
+            ok = (j < len(self.sizes)) & (i < j)
+            i, j = i[ok], j[ok]
+            for t in range(0, len(i), 8192):
+                x, y = i[t : t + 8192], j[t : t + 8192]
+                shared = np.minimum(self.points[x], self.points[y]).sum(axis=1, dtype=np.int64) + np.minimum(self.slack[x], self.slack[y])
+                ok = shared >= self.need.overlap(self.sizes[x], self.sizes[y])
+                yield self.order[x[ok]], self.order[y[ok]]
 
 
 class _Need:
@@ -357,20 +373,16 @@ def _verified(size: int, similarity: float):
     return run
 
 
-def _input_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def similar_pairs(
     items: DataFrame, id_column: str = "id", text_column: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, least_words: int = LEAST_WORDS, parts: int | None = None
 ) -> DataFrame:
     """id_a < id_b and similarity of all pairs of items with at least that Jaccard similarity of their shingles."""
     spark = items.sparkSession
     texts = items.select(F.col(f"`{id_column}`").cast("string").alias("id"), F.col(f"`{text_column}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(_input_bytes(items) / (32 << 20)))
     first = materialize(texts.mapInArrow(_first_pass(shingle, least_words), "sig bigint, id string, part int, counts binary"), "shingles")
     members = first.where("sig IS NOT NULL").select("sig", "id").distinct()
-    ranks = first.where("part IS NOT NULL").select("part", "counts").repartition(min(8, SKETCH_PARTS), "part").mapInArrow(_sum_sketch, "part int, ranks binary").collect()  # 2 MB whatever the data
+    ranks = first.where("part IS NOT NULL").select("part", "counts").repartition(min(8, SKETCH_PARTS), "part").mapInArrow(_sum_sketch, "part int, ranks binary, total bigint").collect()  # 2 MB whatever the data
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(sum(r["total"] for r in ranks) / PART_SHINGLES))
     width = (1 << SKETCH_BITS) // SKETCH_PARTS
     by_part = {r["part"]: bytes(r["ranks"]) for r in ranks}
     ranks_of = spark.sparkContext.broadcast(b"".join(by_part.get(p, bytes(width)) for p in range(SKETCH_PARTS)))
