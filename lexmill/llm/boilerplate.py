@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Most pages the model is fitted on.
-TRAIN_PAGES = 2000
+TRAIN_PAGES = 3000
 #: Features rarer than this in the labelled lines get no weight.
 LEAST_SEEN = 3
 ROUNDS = 150
@@ -81,7 +81,7 @@ _PHRASES = re.compile(
     r"|^[★☆ ]+$|^\d+ of \d+ found this|^(?:yes|ja|sí|oui) \| (?:no|nein|non)$"
     r"|^(?:last updated|reviewed on|updated \S+|zuletzt geändert|stand\b|revisado el|última actualización|mis à jour le|dernière révision)\b.{0,60}$|^\d+ min(?:uten?|utos?|utes)? (?:read|lesezeit|de lectura|de lecture)$|^by \S+ \S+$"
     r"|→$|^(?:←|→|previous:|next:|zurück:|weiter:|anterior:|siguiente:|précédent :|suivant :|précédent:|suivant:)"
-    r"|^(?:try \S+ free|book a demo|subscribe to|join the mailing|get monthly|newsletter|neuigkeiten per|reciba|suscríbase|recevez|abonnez-vous|new: \S+ cloud)"
+    r"|^(?:try \S+ free|\S+ jetzt \d+ tage testen|pruebe \S+ gratis|essayez \S+ gratuitement|book a demo|subscribe to|join the mailing|get monthly|newsletter|neuigkeiten per|reciba|suscríbase|recevez|abonnez-vous|new: \S+ cloud)"
     r"|^(?:you are here|sie sind hier|está aquí|usted está aquí|vous êtes ici)\s*:|^\S.{0,30} ([›»>/]) .{1,40} \1 \S",
     re.I,
 )
@@ -93,6 +93,7 @@ def _wordlist(text: str) -> frozenset:
 
 _NAV, _FOOT, _HEADS, _TOC, _CONTROL, _SECTION = map(_wordlist, (NAVIGATION, FOOTER, LIST_HEADS, CONTENTS, CONTROLS, SECTIONS))
 
+_CUES = (("navigation", _NAV), ("footer", _FOOT), ("head", _HEADS), ("contents", _TOC), ("control", _CONTROL), ("section", _SECTION))
 _KNOWN = _NAV | _FOOT | _HEADS | _TOC | _CONTROL | _SECTION
 
 # -------------------------------------------------------------------- lines
@@ -121,7 +122,8 @@ class Line:
 def read_page(text: str) -> list[Line]:
     lines: list[Line] = []
     block, fence, blank = 0, False, True
-    for number, raw in enumerate(text.split("\n"), 1):
+    raws = text.split("\n")
+    for number, raw in enumerate(raws, 1):
         s = raw.strip()
         if not s:
             blank = blank or not fence
@@ -143,7 +145,9 @@ def read_page(text: str) -> list[Line]:
         else:
             n = len(body.split())
             goes_on = bool(lines) and not first and lines[-1].kind == "sentence" and len(lines[-1].text) >= 40 and lines[-1].text[-1] not in ".?!。？！" and not bullet and body.lower() not in _KNOWN
-            long = n >= 7 and len(body) >= 40 and not _SEPARATED.search(body) or any(ord(c) > 0x2E80 for c in body[:4]) and len(body) >= 14
+            # A line without a full stop is running text if it is long, or goes on in the next line.
+            wraps = len(body) >= 60 or number < len(raws) and raws[number].strip()[:1].islower()
+            long = n >= 7 and len(body) >= 40 and wraps and not _SEPARATED.search(body) or any(ord(c) > 0x2E80 for c in body[:4]) and len(body) >= 14
             done = body[-1] in ".?!。？！" and n >= 4
             kind = "sentence" if (goes_on or long or done) and not bullet else "item" if bullet else "short"
         lines.append(Line(number, s, _DECORATION.sub("", body).lower(), kind, bullet, block, -1, "", ""))
@@ -161,10 +165,12 @@ def read_page(text: str) -> list[Line]:
             x.edge = "root"
         elif x.block != prev.block:
             x.parent, x.edge = head, f"block {lines[head].kind} {x.kind}"
-        elif x.kind in ("item", "short") and prev.kind == x.kind and prev.bullet == x.bullet and prev.parent >= 0 and prev.edge.startswith("list"):
+        elif x.kind in ("item", "short") and prev.kind == x.kind and prev.bullet == x.bullet and prev.parent >= 0 and prev.edge.startswith("list") and "|" not in prev.edge and "." not in prev.edge:
             x.parent, x.edge = prev.parent, prev.edge
         elif x.kind in ("item", "short") and prev.kind in ("short", "item", "sentence", "heading"):
-            x.parent, x.edge = i - 1, f"list {prev.kind}{prev.bullet} {x.kind}{x.bullet}"
+            # A line that is a list in itself opens none.
+            row = "|" if _SEPARATED.search(prev.text) else "!" if prev.bare in _HEADS or prev.bare in _TOC else "." if prev.bare in _CONTROL else ""
+            x.parent, x.edge = i - 1, f"list {prev.kind}{prev.bullet}{row} {x.kind}{x.bullet}"
         else:
             x.parent, x.edge = i - 1, f"next {prev.kind} {x.kind}"
         if prev is None or x.block != prev.block:
@@ -180,6 +186,13 @@ def features(lines: list[Line], i: int) -> list[str]:
     form = _DIGITS.sub("9", x.bare)
     words = _LETTERS.findall(form)
     out.append("form " + form[:80])
+    # Wording shared by all languages of the corpus, so that rare ones need no pages of their own.
+    for name, listed in _CUES:
+        if x.bare in listed:
+            out.append("cue " + name)
+    if len(x.bare) < 220 and "`" not in x.bare and _PHRASES.search(x.bare):
+        out.append(f"cue phrase {x.kind}")
+        out.append("cue phrase")
     prefix = "w " if x.kind == "sentence" else "s "
     out += [prefix + w for w in words[:40]]
     if i == 0:
@@ -251,12 +264,16 @@ def label_lines(lines: list[Line]) -> list[int | None]:
             if j - i > 2 and lines[j - 1].kind == "short" and (goes_on or lines[j - 1].bare in _SECTION and "early" not in lines[j - 1].repeat):
                 out[j - 1] = 0
     navigated = {x.block for x in lines if x.bare in _NAV}
+    clean = {x.block for x in lines} - {x.block for x, y in zip(lines, out) if y == 1}
     for i, x in enumerate(lines):
         if out[i] is not None or x.kind not in ("item", "short"):
             continue
         after = lines[i + 1] if i + 1 < len(lines) else None
-        if x.kind == "short" and (i == 0 or "crumb" in x.repeat or x.bare in _SECTION and "early" not in x.repeat):
+        alone = (i == 0 or lines[i - 1].block != x.block) and (after is None or after.block != x.block)
+        if x.kind == "short" and (i == 0 or "crumb" in x.repeat or "early" not in x.repeat and (alone or x.block in clean or x.bare in _SECTION)):
             out[i] = 0
+        elif x.kind == "short" and lines[i - 1].kind == "item" and lines[i - 1].block == x.block and "early" not in x.repeat:
+            out[i] = 0  # a heading or title right after a list with bullets
         elif x.edge.startswith("list") and out[x.parent] is not None and not (x.kind == "short" and out[x.parent] == 1):
             out[i] = out[x.parent]
         elif x.kind == "short" and after is not None and (after.kind == "sentence" and out[i + 1] == 0 or after.kind in ("table", "code")):
