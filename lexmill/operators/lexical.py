@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexmill.functions.text import tokens
+from lexmill.session import materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 6
@@ -57,10 +58,13 @@ def term_statistics(posting: DataFrame, size: DataFrame, epsilon: float = EPSILO
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf")), stats
 
 
-def build_index(chunks: DataFrame, id_column: str = "id", text: str = "text", epsilon: float = EPSILON) -> KeywordIndex:
-    posting = postings(chunks, id_column, text)
-    lengths = document_lengths(chunks, id_column, text)
+def build_index(chunks: DataFrame, id_column: str = "id", text: str = "text", epsilon: float = EPSILON, written: bool = True) -> KeywordIndex:
+    """The index of ``chunks``; tables that others are made from are ``written`` once, so texts are read twice in all."""
+    keep = materialize if written else lambda df, _: df
+    posting = keep(postings(chunks, id_column, text), "postings")
+    lengths = keep(document_lengths(chunks, id_column, text), "lengths")
     terms, corpus = term_statistics(posting, corpus_size(lengths), epsilon)
+    corpus = keep(corpus, "corpus")
     return KeywordIndex(posting, lengths, terms, corpus)
 
 

@@ -10,10 +10,15 @@ from pyspark.sql.window import Window
 SAME_MILLIS = 1000
 
 
-def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The latest row of each key; one pass with partial aggregation instead of a sort."""
-    rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*[F.col(order), *[F.col(c) for c in rest if c != order]])).alias("x")).select(*keys, "x.*").select(*rows.columns)
+def last_wins(rows: DataFrame, keys: list[str], order: str, ties: list[str] | None = None) -> DataFrame:
+    """The latest row of each key; among equally late ones the one that is first by ``ties``, by default all columns.
+
+    One shuffle and one sort; repeats within a partition are dropped before the shuffle (window group limit), and columns
+    that nobody reads are not carried along unless they are among ``ties``.
+    """
+    rest = [c for c in rows.columns if c not in keys and c != order] if ties is None else ties
+    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(order), *([F.xxhash64(*rest)] if rest else []))
+    return rows.withColumn("__nth", F.row_number().over(w)).where("`__nth` = 1").drop("__nth")
 
 
 def category_counts(chunks: DataFrame) -> DataFrame:

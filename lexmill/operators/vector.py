@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.operators.lexical import DIGITS, rank
+from lexmill.session import materialize
 
 #: Queries compared at once; with the vectors of a batch it bounds a task's memory.
 QUERY_BLOCK = 512
+QUERY_PARTITIONS = 8
 DIMENSIONS = 64
 
 
@@ -30,7 +32,9 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, n: int = 20, id_column:
     vectors of another length and zero vectors never match.
     """
     q = queries.select("query_id", F.col(vector).alias("qv")).where("qv IS NOT NULL")
-    packed = q.mapInPandas(_pack, "block_ids array<bigint>, block_vectors binary, width int")
+    # Packed once into a table of known size: Spark broadcasts it only below its threshold and
+    # otherwise pairs partitions, of which the queries have few.
+    packed = materialize(q.repartition(QUERY_PARTITIONS).mapInPandas(_pack, "block_ids array<bigint>, block_vectors binary, width int"), "queries")
     corpus = vectors.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector).alias("v")).where("v IS NOT NULL").mapInPandas(_pack_rows, "ids array<bigint>, rows binary, width int")
     # Blocks against blocks: the stated queries against all rows.
     pairs = corpus.withColumnRenamed("width", "w").crossJoin(packed)

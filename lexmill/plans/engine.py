@@ -89,7 +89,7 @@ class Engine:
         w = self.store.write
         chunks = w(snapshot, "chunks", chunks, "category")
         parents = w(snapshot, "parents", parents)
-        index = lexical.build_index(chunks)
+        index = lexical.build_index(chunks, written=False)
         posting = w(snapshot, "postings", index.postings)
         lengths = w(snapshot, "doc_stats", index.doc_stats)
         terms, corpus = lexical.term_statistics(posting, lexical.corpus_size(lengths))

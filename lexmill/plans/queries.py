@@ -25,7 +25,7 @@ FOLDERS = [Category(c, paths=(p,)) for c, p in (("docs", "processed/docs"), ("ap
 
 def store(spark: SparkSession, d: str) -> DataFrame:
     """Stored chunks: the last delivery of each id."""
-    return maintenance.last_wins(read_table(spark, d, "chunks"), ["id"], "indexed_at")
+    return maintenance.last_wins(read_table(spark, d, "chunks"), ["id"], "indexed_at", ["category", "source_path", "module", "parent_id"])
 
 
 def searchable(spark: SparkSession, d: str) -> DataFrame:
