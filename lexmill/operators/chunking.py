@@ -84,9 +84,7 @@ def explode_parents(files: DataFrame, strategy: str, size: int, overlap: int, pa
 
 
 def explode_children(parents: DataFrame, size: int, overlap: int, path: str = "source_path") -> DataFrame:
-    """Windows over each parent, or the parent itself where that gives none."""
+    """Windows over each parent; a parent is never blank, so each gives one at least."""
     rest = [c for c in parents.columns if c != "text"]
-    windows = char_split(F.col("text"), size, overlap)
-    pieces = F.when(F.size(windows) > 0, windows).otherwise(F.array("text"))
-    cut = parents.select(*rest, F.posexplode(pieces).alias("child_no", "text"))
+    cut = parents.select(*rest, F.posexplode(char_split(F.col("text"), size, overlap)).alias("child_no", "text"))
     return cut.withColumn("id", F.md5(F.concat(F.col(path), F.lit("|p"), F.col("parent_no").cast("string"), F.lit("|c"), F.col("child_no").cast("string"))))

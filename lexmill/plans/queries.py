@@ -38,7 +38,7 @@ def stored_parents(spark: SparkSession, d: str) -> DataFrame:
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
     """documents as files of a category: path, category, text read like a file."""
-    docs = read_table(spark, d, "documents").where("text IS NOT NULL")
+    docs = read_table(spark, d, "documents", spread=True).where("text IS NOT NULL")
     source = F.coalesce(F.lower(F.trim("source")), F.lit("none"))
     return docs.select(F.concat(F.lit("docs/"), source, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source_path"), F.lit("docs").alias("category"), text.strip(text.universal_newlines("text")).alias("text"))
 
@@ -266,7 +266,7 @@ def unlisted_files(spark, d):
 def html_to_md(spark, d):
     """Every document as a page with scripts, navigation and a footer, and back as Markdown."""
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    docs = read_table(spark, d, "documents").where("text IS NOT NULL")
+    docs = read_table(spark, d, "documents", spread=True).where("text IS NOT NULL")
     body = text.strip(text.universal_newlines("text"))
     html = F.concat(
         F.lit("<html><head><title>t</title><style>p {}</style><script>var x = '<p>';</script></head><body><nav><ul><li>Home</ul></nav><h1>"),
@@ -283,7 +283,7 @@ def html_to_md(spark, d):
 
 
 def md_cleanup(spark, d):
-    return read_table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", text.clean_markdown("text").alias("markdown"))
+    return read_table(spark, d, "documents", spread=True).where("text IS NOT NULL").select("doc_id", text.clean_markdown("text").alias("markdown"))
 
 
 def docstring_items(spark, d):

@@ -36,5 +36,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table of a folder of Parquet tables.
+
+    ``spread`` deals the rows of a table that comes in fewer splits than there are cores (one file, one
+    row group) over all cores; tables of more splits are read as they are, without a shuffle.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if spread and df.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
+        df = df.repartition(cores)
+    return df
