@@ -29,10 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Most pages the model is fitted on.
-TRAIN_PAGES = 3000
+TRAIN_PAGES = 2000
 #: Features rarer than this in the labelled lines get no weight.
 LEAST_SEEN = 3
-ROUNDS = 150
+ROUNDS = 100
 THRESHOLD = 0.5
 
 # ------------------------------------------------------------- fixed values

@@ -373,49 +373,72 @@ def _verified(size: int, similarity: float):
     return run
 
 
-def similar_pairs(
+def class_pairs(
     items: DataFrame, id_column: str = "id", text_column: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, least_words: int = LEAST_WORDS, parts: int | None = None
-) -> DataFrame:
-    """id_a < id_b and similarity of all pairs of items with at least that Jaccard similarity of their shingles."""
+) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): texts of equal shingles are one class, named by its smallest id.
+
+    pairs: id_a < id_b and similarity of classes at least that similar; members: class_id, id.
+    """
     spark = items.sparkSession
     texts = items.select(F.col(f"`{id_column}`").cast("string").alias("id"), F.col(f"`{text_column}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     first = materialize(texts.mapInArrow(_first_pass(shingle, least_words), "sig bigint, id string, part int, counts binary"), "shingles")
-    members = first.where("sig IS NOT NULL").select("sig", "id").distinct()
+    classes = first.where("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("class_id"))
+    members = first.where("sig IS NOT NULL").select("sig", "id").distinct().join(classes, "sig").select("class_id", "id")
     ranks = first.where("part IS NOT NULL").select("part", "counts").repartition(min(8, SKETCH_PARTS), "part").mapInArrow(_sum_sketch, "part int, ranks binary, total bigint").collect()  # 2 MB whatever the data
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(sum(r["total"] for r in ranks) / PART_SHINGLES))
     width = (1 << SKETCH_BITS) // SKETCH_PARTS
     by_part = {r["part"]: bytes(r["ranks"]) for r in ranks}
     ranks_of = spark.sparkContext.broadcast(b"".join(by_part.get(p, bytes(width)) for p in range(SKETCH_PARTS)))
     blocks = texts.mapInArrow(_second_pass(ranks_of, parts, shingle, least_words, similarity), _BLOCKS)
-    likely = materialize(blocks.groupBy("part").applyInArrow(_block_pairs(similarity), "sig_a bigint, sig_b bigint").distinct(), "likely")
-    return _verify(texts, members, likely, shingle, similarity)
+    found = blocks.groupBy("part").applyInArrow(_block_pairs(similarity), "sig_a bigint, sig_b bigint").distinct()
+    a, b = classes.toDF("sig_a", "class_a"), classes.toDF("sig_b", "class_b")
+    named = found.join(a, "sig_a").join(b, "sig_b").select(F.least("class_a", "class_b").alias("id_a"), F.greatest("class_a", "class_b").alias("id_b"))
+    return _verify(texts, materialize(named, "likely"), shingle, similarity), members
 
 
-def _verify(texts: DataFrame, members: DataFrame, likely: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    a, b = members.select(F.col("sig").alias("sig_a"), F.col("id").alias("id_a")), members.select(F.col("sig").alias("sig_b"), F.col("id").alias("id_b"))
-    between = likely.join(a, "sig_a").join(b, "sig_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
-    repeated = members.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
-    twins = members.join(repeated, "sig", "left_semi")
-    within = twins.alias("x").join(twins.alias("y"), "sig").where("x.id < y.id").select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
-    pairs = materialize(between.unionByName(within).where("id_a <> id_b").distinct(), "pairs")
+def _verify(texts: DataFrame, likely: DataFrame, shingle: int, similarity: float) -> DataFrame:
     # Only texts of some pair go on: a filter of 2^20 buckets of ids, so of bounded size.
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
-    wanted = pairs.select(bucket("id_a").alias("bucket")).union(pairs.select(bucket("id_b"))).distinct()
+    wanted = likely.select(bucket("id_a").alias("bucket")).union(likely.select(bucket("id_b"))).distinct()
     some = texts.join(F.broadcast(wanted), bucket("id") == F.col("bucket"), "left_semi").dropDuplicates(["id"])
     left, right = some.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), some.select(F.col("id").alias("id_b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "id_a").join(right, "id_b").mapInPandas(_verified(shingle, similarity), "id_a string, id_b string, similarity double")
+    return likely.join(left, "id_a").join(right, "id_b").mapInPandas(_verified(shingle, similarity), "id_a string, id_b string, similarity double")
 
 
-def groups(items: DataFrame, pairs: DataFrame, id_column: str = "id") -> DataFrame:
-    """id, group_id (smallest id of the connected group), n_links of every item with a link."""
-    links = materialize(pairs.select("id_a", "id_b").union(pairs.select(F.col("id_b"), F.col("id_a"))).toDF("id", "other").distinct(), "links")
-    label = materialize(links.groupBy("id").agg(F.least("id", F.min("other")).alias("group_id"), F.count("*").alias("n_links")), "label")
+def similar_pairs(
+    items: DataFrame, id_column: str = "id", text_column: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, least_words: int = LEAST_WORDS, parts: int | None = None
+) -> DataFrame:
+    """id_a < id_b and similarity of all pairs of items with at least that Jaccard similarity, copies written out."""
+    pairs, members = class_pairs(items, id_column, text_column, similarity, shingle, least_words, parts)
+    members = materialize(members, "members")
+    a, b = members.toDF("class_a", "x"), members.toDF("class_b", "y")
+    between = pairs.toDF("class_a", "class_b", "similarity").join(a, "class_a").join(b, "class_b").select("x", "y", "similarity")
+    repeated = members.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
+    twins = members.join(repeated, "class_id", "left_semi")
+    within = twins.toDF("class_id", "x").join(twins.toDF("class_id", "y"), "class_id").where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    return between.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
+
+
+def groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """id, class_id, group_id, n_links of every item that is similar to another one.
+
+    ``pairs`` and ``members`` are those of class_pairs, so copies are counted and not written out as pairs.  A group is
+    a connected component, named by its smallest class; n_links counts similar items, copies too.
+    """
+    sizes = materialize(members.groupBy("class_id").agg(F.count("*").alias("n")), "sizes")
+    links = materialize(pairs.select("id_a", "id_b").union(pairs.select("id_b", "id_a")).toDF("id", "other").distinct(), "links")
+    degree = links.join(sizes.toDF("other", "n"), "other").groupBy("id").agg(F.sum("n").alias("linked"))
+    label = materialize(links.groupBy("id").agg(F.least("id", F.min("other")).alias("group_id")), "label")
     while True:
-        near = links.join(label.select(F.col("id").alias("other"), F.col("group_id").alias("g")), "other").groupBy("id").agg(F.min("g").alias("g"))
+        near = links.join(label.toDF("other", "g"), "other").groupBy("id").agg(F.min("g").alias("g"))
         # Follow the label of the label as well, so that long chains halve with each round.
-        jump = label.select(F.col("id").alias("group_id"), F.col("group_id").alias("g2"))
-        new = label.join(near, "id").join(jump, "group_id", "left").select("id", F.least("group_id", "g", "g2").alias("new_id"), "group_id", "n_links")
-        new = materialize(new, "label")
-        if new.where("new_id <> group_id").isEmpty():
-            return new.select("id", F.col("new_id").alias("group_id"), "n_links")
-        label = new.select("id", F.col("new_id").alias("group_id"), "n_links")
+        jump = label.toDF("group_id", "g2")
+        new = materialize(label.join(near, "id").join(jump, "group_id", "left").select("id", F.least("group_id", "g", "g2").alias("new_id"), "group_id"), "label")
+        done = new.where("new_id <> group_id").isEmpty()
+        label = new.select("id", F.col("new_id").alias("group_id"))
+        if done:
+            break
+    whole = sizes.join(label.withColumnRenamed("id", "class_id"), "class_id", "left").join(degree.withColumnRenamed("id", "class_id"), "class_id", "left")
+    whole = whole.where("n > 1 OR group_id IS NOT NULL").select("class_id", F.coalesce("group_id", "class_id").alias("group_id"), (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    return members.join(whole, "class_id").select("id", "class_id", "group_id", "n_links")

@@ -15,60 +15,59 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return documented.documented(read_table(spark, d, "source_files"), read_table(spark, d, "docstring_items"))
+    return documented.documented(read_table(spark, d, "source_files", spread=True), read_table(spark, d, "docstring_items", spread=True))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.oversized(read_table(spark, d, "chunks"), read_table(spark, d, "parents"), read_table(spark, d, "categories"))
+    return splitting.oversized(read_table(spark, d, "chunks", spread=True), read_table(spark, d, "parents", spread=True), read_table(spark, d, "categories"))
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.corpus_pieces(read_table(spark, d, "chunks"), read_table(spark, d, "parents"), read_table(spark, d, "categories"))
+    return splitting.corpus_pieces(read_table(spark, d, "chunks", spread=True), read_table(spark, d, "parents", spread=True), read_table(spark, d, "categories"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.similar_pairs(read_table(spark, d, "chunks")).select("id_a", "id_b")
+    return neardup.similar_pairs(read_table(spark, d, "chunks", spread=True)).select("id_a", "id_b")
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    chunks = read_table(spark, d, "chunks")
-    return neardup.groups(chunks, neardup.similar_pairs(chunks))
+    return neardup.groups(*neardup.class_pairs(read_table(spark, d, "chunks", spread=True)))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return syntax.not_parsing(read_table(spark, d, "source_files"), read_table(spark, d, "docstring_items"))
+    return syntax.not_parsing(read_table(spark, d, "source_files", spread=True), read_table(spark, d, "docstring_items", spread=True))
 
 
 def p4_files(spark: SparkSession, d: str) -> DataFrame:
-    return syntax.check_files(read_table(spark, d, "source_files"))
+    return syntax.check_files(read_table(spark, d, "source_files", spread=True))
 
 
 def p4_rates(spark: SparkSession, d: str) -> DataFrame:
-    return syntax.rates(read_table(spark, d, "source_files"), read_table(spark, d, "docstring_items"))
+    return syntax.rates(read_table(spark, d, "source_files", spread=True), read_table(spark, d, "docstring_items", spread=True))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate.furniture_lines(read_table(spark, d, "chunks")).select("id", "line_no")
+    return boilerplate.furniture_lines(read_table(spark, d, "chunks", spread=True)).select("id", "line_no")
 
 
 def p5_articles(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate.articles(read_table(spark, d, "chunks"))
+    return boilerplate.articles(read_table(spark, d, "chunks", spread=True))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.encode_column(read_table(spark, d, "documents"), keep=["doc_id"])
+    return bpe.encode_column(read_table(spark, d, "documents", spread=True), keep=["doc_id"])
 
 
 def p7_drawn(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))[0]
+    return mixing.mix(read_table(spark, d, "documents", spread=True), read_table(spark, d, "mix_targets"))[0]
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))[1]
+    return mixing.mix(read_table(spark, d, "documents", spread=True), read_table(spark, d, "mix_targets"))[1]
 
 
 def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return quality.text_quality(read_table(spark, d, "documents"), keep=["doc_id"])
+    return quality.text_quality(read_table(spark, d, "documents", spread=True), keep=["doc_id"])
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -84,11 +84,23 @@ def test_five_word_shingles_at_four_fifths(spark):
     assert got == set(brute(rows, similarity=0.8, size=5)) and got
 
 
-def test_groups_are_connected_components(spark):
-    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("x", "y")], "id_a string, id_b string")
-    items = spark.createDataFrame([("a",)], "id string")
-    got = {r["id"]: (r["group_id"], r["n_links"]) for r in neardup.groups(items, pairs).collect()}
-    assert got == {"a": ("a", 1), "b": ("a", 2), "c": ("a", 2), "d": ("a", 2), "e": ("a", 1), "x": ("x", 1), "y": ("x", 1)}
+def test_groups_are_connected_components_of_classes(spark):
+    pairs = spark.createDataFrame([("a", "b", 0.7), ("b", "c", 0.7), ("c", "d", 0.7), ("d", "e", 0.7), ("x", "y", 0.7)], "id_a string, id_b string, similarity double")
+    members = spark.createDataFrame([(c, c) for c in "abcdexyzw"] + [("b", "b2"), ("b", "b3"), ("z", "z2")], "class_id string, id string")
+    got = {r["id"]: (r["class_id"], r["group_id"], r["n_links"]) for r in neardup.groups(pairs, members).collect()}
+    assert got == {
+        "a": ("a", "a", 3), "b": ("b", "a", 4), "b2": ("b", "a", 4), "b3": ("b", "a", 4), "c": ("c", "a", 4), "d": ("d", "a", 2), "e": ("e", "a", 1), "x": ("x", "x", 1), "y": ("y", "x", 1), "z": ("z", "z", 1), "z2": ("z", "z", 1),
+    }
+
+
+def test_links_of_groups_equal_the_pairs(spark):
+    rows = corpus(8, 50)
+    rows += [(f"copy{i}", rows[i % 3][1]) for i in range(9)]
+    df = spark.createDataFrame(rows, "id string, text string")
+    want = {}
+    for a, b in brute(rows):
+        want[a], want[b] = want.get(a, 0) + 1, want.get(b, 0) + 1
+    assert {r["id"]: r["n_links"] for r in neardup.groups(*neardup.class_pairs(df)).collect()} == want
 
 
 def test_nothing_to_compare(spark):
