@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+# Sizes and overlaps in characters where a category names none.
 DEFAULT_CHUNK_SIZE = 1200
 DEFAULT_EXTENSIONS = (".md",)
 CHUNK_OVERLAP = 200

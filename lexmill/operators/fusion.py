@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# The rank offset of the fusion and the sizes of a search.
 RRF_K = 60
 #: Each ranking gives this many times the wanted results, but no more than FETCH_MOST.
 FETCH_FACTOR, FETCH_MOST = 3, 30

@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from lexmill.functions.text import tokens
 from lexmill.session import materialize
 
+# Fixed values of the ranking formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 6
 

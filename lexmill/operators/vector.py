@@ -31,14 +31,15 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, n: int = 20, id_column:
     what is shuffled is n rows for each query and partition.  Null vectors,
     vectors of another length and zero vectors never match.
     """
+    id_type, query_type = vectors.schema[id_column].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     q = queries.select("query_id", F.col(vector).alias("qv")).where("qv IS NOT NULL")
     # Packed once into a table of known size: Spark broadcasts it only below its threshold and
     # otherwise pairs partitions, of which the queries have few.
-    packed = materialize(q.repartition(QUERY_PARTITIONS).mapInPandas(_pack, "block_ids array<bigint>, block_vectors binary, width int"), "queries")
-    corpus = vectors.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector).alias("v")).where("v IS NOT NULL").mapInPandas(_pack_rows, "ids array<bigint>, rows binary, width int")
+    packed = materialize(q.repartition(QUERY_PARTITIONS).mapInPandas(_pack, f"block_ids array<{query_type}>, block_vectors binary, width int"), "queries")
+    corpus = vectors.select(F.col(id_column).alias("id"), F.col(vector).alias("v")).where("v IS NOT NULL").mapInPandas(_pack_rows, f"ids array<{id_type}>, rows binary, width int")
     # Blocks against blocks: the stated queries against all rows.
     pairs = corpus.withColumnRenamed("width", "w").crossJoin(packed)
-    return rank(pairs.mapInPandas(_best(n), "query_id bigint, id bigint, score double"), n)
+    return rank(pairs.mapInPandas(_best(n), f"query_id {query_type}, id {id_type}, score double"), n)
 
 
 def _pack_with(frames: Iterator[pd.DataFrame], key: str, value: str, names: list[str], size: int) -> Iterator[pd.DataFrame]:
@@ -48,7 +49,7 @@ def _pack_with(frames: Iterator[pd.DataFrame], key: str, value: str, names: list
                 part = g.iloc[s : s + size]
                 m = _unit(np.array(part[value].tolist(), np.float64))
                 ok = ~np.isnan(m).any(axis=1)
-                yield pd.DataFrame({names[0]: [part[key].to_numpy(np.int64)[ok]], names[1]: [m[ok].tobytes()], "width": [int(width)]}).astype({"width": "int32"})
+                yield pd.DataFrame({names[0]: [part[key].to_numpy()[ok]], names[1]: [m[ok].tobytes()], "width": [int(width)]}).astype({"width": "int32"})
 
 
 def _pack(frames):
@@ -63,16 +64,16 @@ def _best(n: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for ids, rows, w, qids, qrows, width in zip(f["ids"], f["rows"], f["w"], f["block_ids"], f["block_vectors"], f["width"]):
-                if w != width:
+                a, q = np.frombuffer(rows), np.frombuffer(qrows)
+                if w != width or not len(a) or not len(q):
                     continue
-                a, q = np.frombuffer(rows).reshape(-1, width), np.frombuffer(qrows).reshape(-1, width)
-                if not len(a) or not len(q):
-                    continue
-                score = np.round(q @ a.T, DIGITS) + 0.0
+                score = np.round(q.reshape(-1, width) @ a.reshape(-1, width).T, DIGITS) + 0.0
+                ids = np.asarray(ids)
+                by_id = np.argsort(np.argsort(ids.astype(str) if ids.dtype == object else ids, kind="stable"), kind="stable")
                 k = min(n, len(ids))
                 # Best k of each query; ties by id.
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(qids, k), "id": np.asarray(ids)[order].ravel(), "score": np.take_along_axis(score, order, axis=1).ravel()})
+                order = np.lexsort((np.broadcast_to(by_id, score.shape), -score), axis=1)[:, :k]
+                yield pd.DataFrame({"query_id": np.repeat(np.asarray(qids), k), "id": ids[order].ravel(), "score": np.take_along_axis(score, order, axis=1).ravel()})
 
     return run
 

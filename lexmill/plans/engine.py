@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.config import Category, Settings
-from lexmill.operators import chunking, fusion, lexical, maintenance, vector
+from lexmill.operators import chunking, embedding, fusion, lexical, maintenance, vector
 from lexmill.plans.store import SnapshotStore, union_all
 from lexmill.sources import files as source_files
 
@@ -34,35 +34,35 @@ def chunk_all(files: DataFrame, settings: Settings) -> tuple[DataFrame, DataFram
     return union_all([a for a, _ in both]), union_all([b for _, b in both])
 
 
-def settings_key(settings: Settings) -> str:
-    """Changes whenever a setting that shapes chunks changes."""
-    return hashlib.md5(repr(settings).encode(), usedforsecurity=False).hexdigest()
-
-
-def hybrid(
-    index: lexical.KeywordIndex,
-    features: DataFrame,
-    chunks: DataFrame,
-    parents: DataFrame | None,
-    queries: DataFrame,
-    n: int = 8,
-    category: str | None = None,
-    resolve: bool = True,
-    keyword_only: bool = False,
-) -> DataFrame:
-    """query_id, rank, text, category, source, source_path, module, parent_id, hits of each (query_id, query)."""
-    category = category or None
-    many = fusion.fetch_size(n)
-    words = lexical.bm25_search(index, queries, many, category)
+def settings_key(settings: Settings, embedder: embedding.Embedder | None = None) -> str:
+    """Changes whenever a setting that shapes chunks or vectors changes."""
+    return hashlib.md5(repr((settings, embedder)).encode(), usedforsecurity=False).hexdigest()
+
+
+def hashed_near(features: DataFrame, queries: DataFrame, n: int, category: str | None) -> DataFrame:
+    """Vector ranking by hashed term counts."""
+    terms = lexical.query_terms(queries).select(F.col("query_id").alias("id"), F.lit("").alias("category"), "term", F.col("qtf").alias("tf"))
     own = features if category is None else features.where(F.col("category") == category)
-    if keyword_only:
-        near = words.where("false")
-    else:
-        terms = lexical.query_terms(queries).select(F.col("query_id").alias("id"), F.lit("").alias("category"), "term", F.col("qtf").alias("tf"))
-        near = vector.hashed_cosine(own, vector.hash_features(terms), many)
-    merged = fusion.rrf(words, near, n)
-    found = fusion.fetch(merged, chunks)
-    return fusion.resolve_parents(found, parents, resolve and parents is not None) if parents is not None else fusion.resolve_parents(found, chunks.where("false").select("parent_id", "text"), True)
+    return vector.hashed_cosine(own, vector.hash_features(terms), n)
+
+
+def dense_near(embeddings: DataFrame, queries: DataFrame, embedder: embedding.Embedder, n: int, category: str | None) -> DataFrame:
+    """Vector ranking by an embedder; the category narrows what is searched."""
+    own = embeddings if category is None else embeddings.where(F.col("category") == category)
+    return vector.cosine_topk(own, embedding.embed(queries, embedder, "query", keep=["query_id"]), n)
+
+
+def merge(words: DataFrame, near: DataFrame, chunks: DataFrame, parents: DataFrame, n: int, resolve: bool = True) -> DataFrame:
+    """query_id, rank, text, category, source, source_path, module, parent_id, hits of two rankings."""
+    return fusion.resolve_parents(fusion.fetch(fusion.rrf(words, near, n), chunks), parents, resolve)
+
+
+def hybrid(index: lexical.KeywordIndex, features: DataFrame, chunks: DataFrame, parents: DataFrame, queries: DataFrame, n: int = 8, category: str | None = None, resolve: bool = True, keyword_only: bool = False) -> DataFrame:
+    """Keyword and hashed vector ranking of each (query_id, query), merged."""
+    category, many = category or None, fusion.fetch_size(n)
+    words = lexical.bm25_search(index, queries, many, category)
+    near = words.where("false") if keyword_only else hashed_near(features, queries, many, category)
+    return merge(words, near, chunks, parents, n, resolve)
 
 
 @dataclass
@@ -73,8 +73,9 @@ class BuildReport:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, settings: Settings):
-        self.spark, self.settings, self.store = spark, settings, SnapshotStore(spark, root)
+    def __init__(self, spark: SparkSession, root: str, settings: Settings, embedder: embedding.Embedder | None = None):
+        """Without an ``embedder`` vectors are hashed term counts."""
+        self.spark, self.settings, self.embedder, self.store = spark, settings, embedder, SnapshotStore(spark, root)
 
     # ------------------------------------------------------------------ build
 
@@ -85,7 +86,10 @@ class Engine:
     def census(self) -> DataFrame:
         return source_files.census(self.spark, self.settings)
 
-    def _finish(self, snapshot: str, mode: str, files: DataFrame, chunks: DataFrame, parents: DataFrame) -> BuildReport:
+    def _embedded(self, chunks: DataFrame) -> DataFrame:
+        return embedding.embed(chunks.select("id", "category", "source_path", "text"), self.embedder, keep=["id", "category", "source_path"])
+
+    def _finish(self, snapshot: str, mode: str, files: DataFrame, chunks: DataFrame, parents: DataFrame, embeddings: DataFrame | None = None) -> BuildReport:
         w = self.store.write
         chunks = w(snapshot, "chunks", chunks, "category")
         parents = w(snapshot, "parents", parents)
@@ -95,12 +99,15 @@ class Engine:
         terms, corpus = lexical.term_statistics(posting, lexical.corpus_size(lengths))
         w(snapshot, "term_stats", terms)
         w(snapshot, "corpus_stats", corpus)
-        w(snapshot, "features", vector.hash_features(posting))
+        if self.embedder is None:
+            w(snapshot, "features", vector.hash_features(posting))
+        else:
+            w(snapshot, "embeddings", self._embedded(chunks) if embeddings is None else embeddings)
         w(snapshot, "manifest", maintenance.build_manifest(chunks, files))
         names = self.spark.createDataFrame([(c.name, k, c.description) for k, c in enumerate(self.settings.categories)], "category string, ord int, description string")
         counts = names.join(maintenance.category_counts(chunks), "category", "left").select("category", "ord", "description", F.coalesce("n", F.lit(0)).alias("n"))
         counts = w(snapshot, "category_stats", counts)
-        w(snapshot, "settings", self.spark.createDataFrame([(settings_key(self.settings),)], "key string"))
+        w(snapshot, "settings", self.spark.createDataFrame([(settings_key(self.settings, self.embedder),)], "key string"))
         self.store.publish(snapshot)
         by = {r["category"]: r["n"] for r in counts.orderBy(F.desc("n"), "ord").collect()}  # a row for each category
         return BuildReport(mode, sum(by.values()), by)
@@ -112,7 +119,7 @@ class Engine:
     def build_incremental(self) -> BuildReport:
         """Cuts only files that are new or changed; without a usable index, or after a change of settings, all."""
         at = self.store.current()
-        if at is None or self.store.table("settings", at).first()["key"] != settings_key(self.settings):
+        if at is None or self.store.table("settings", at).first()["key"] != settings_key(self.settings, self.embedder):
             return self.build_full()
         files = source_files.all_files(self.spark, self.settings)
         seen = files.select("source_path", "mtime")
@@ -122,7 +129,10 @@ class Engine:
             fresh, fresh_parents = chunk_all(todo, self.settings)
             chunks = maintenance.apply_changes(self.store.table("chunks", at).select(*CHUNK_COLUMNS), status, fresh)
             parents = maintenance.apply_changes(self.store.table("parents", at).select(*PARENT_COLUMNS), status, fresh_parents)
-            return self._finish(self.store.begin(), "incremental", seen, chunks, parents)
+            vectors = None
+            if self.embedder is not None:  # texts that did not change are not embedded again
+                vectors = maintenance.apply_changes(self.store.table("embeddings", at), status, self._embedded(fresh))
+            return self._finish(self.store.begin(), "incremental", seen, chunks, parents, vectors)
         finally:
             status.unpersist()
 
@@ -146,7 +156,10 @@ class Engine:
         if at is None:
             raise RuntimeError("the index is not built")
         t = lambda name: self.store.table(name, at)
-        return hybrid(self._index(at), t("features"), t("chunks"), t("parents"), queries, n, category)
+        category, many = category or None, fusion.fetch_size(n)
+        words = lexical.bm25_search(self._index(at), queries, many, category)
+        near = hashed_near(t("features"), queries, many, category) if self.embedder is None else dense_near(t("embeddings"), queries, self.embedder, many, category)
+        return merge(words, near, t("chunks"), t("parents"), n)
 
     def search(self, query: str, category: str | None = None, n: int = 8) -> DataFrame:
         return self.search_many(self.spark.createDataFrame([(0, query)], "query_id bigint, query string"), category, n).drop("query_id").orderBy("rank")

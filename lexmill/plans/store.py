@@ -13,7 +13,7 @@ from functools import reduce
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("chunks", "parents", "postings", "doc_stats", "term_stats", "corpus_stats", "features", "manifest", "category_stats", "settings")
+TABLES = ("chunks", "parents", "postings", "doc_stats", "term_stats", "corpus_stats", "features", "embeddings", "manifest", "category_stats", "settings")
 
 
 class SnapshotStore:
@@ -68,6 +68,10 @@ class SnapshotStore:
         if not fs.rename(new, self._path("CURRENT")):
             raise OSError("the snapshot pointer could not be moved")
 
+    def export_json(self, name: str, folder: str) -> None:
+        """A table of the published snapshot as lines of JSON."""
+        self.table(name).write.mode("overwrite").json(folder)
+
     def drop_old(self, keep: int = 2) -> list[str]:
         """Remove all but the latest ``keep`` snapshots; the published one always stays."""
         fs = self._fs()

@@ -36,6 +36,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> int:
+    """Remove the tables that materialize wrote to the shared folder; call it when no plan reads them any more."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in (fs.listStatus(root) if fs.exists(root) else []) if s.getPath().getName().startswith("lexmill-")]
+    for path in found:
+        fs.delete(path, True)
+    return len(found)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """A table of a folder of Parquet tables.
 
