@@ -132,7 +132,7 @@ def test_both_kinds_of_vectors_find_a_text_by_its_words(spark, tree, tmp_path):
         engine.build_full()
         assert engine.search("plug the cable. then wait.").first()["text"].startswith("## Setup")
     engine.store.export_json("manifest", str(tmp_path / "manifest"))
-    assert spark.read.json(str(tmp_path / "manifest")).count() == 3
+    assert spark.read.json(str(tmp_path / "manifest")).count() == 4
 
 
 def test_written_tables_can_be_dropped(spark):
