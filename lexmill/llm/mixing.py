@@ -95,6 +95,21 @@ def _hash(seed: int, *columns: str) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 
 
+def _fill(block: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one block that fill its allowance; the last may go over it by less than what else would be missing."""
+    block = block.sort_values(["order", "doc_id"])
+    left, keep, best = int(block["allowed"].iloc[0]), [], None
+    for k, n in enumerate(block["n_tokens"]):
+        if n <= left:
+            keep.append(k)
+            left -= n
+        elif best is None or n < best[0]:
+            best = (n, k)
+    if best is not None and best[0] - left < left:
+        keep.append(best[1])
+    return block.iloc[keep][["source", "repeat_no", "block", "doc_id", "n_tokens", "shard"]]
+
+
 def mixable(documents: DataFrame, targets: DataFrame, vocabulary: str = bpe.DEFAULT_VOCABULARY) -> tuple[DataFrame, list]:
     """(doc_id, source, n_tokens) of the documents of target sources, and the target rows."""
     wanted = (
@@ -165,11 +180,10 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     chosen = spark.createDataFrame(pd.DataFrame(rows, columns=["source", "repeat_no", "block", "allowed", "shard"]), "source string, repeat_no int, block int, allowed bigint, shard int") if rows else spark.createDataFrame([], "source string, repeat_no int, block int, allowed bigint, shard int")
     # The chosen blocks are a driver-side table of bounded size (MOST_BLOCKS).
     taken = dealt.join(F.broadcast(chosen), ["source", "repeat_no", "block"])
-    # Only the blocks taken in part need an order: one a source, each of bounded size.
-    part = taken.where("allowed >= 0").withColumn("before", F.sum("n_tokens").over(Window.partitionBy("source", "repeat_no", "block").orderBy(_hash(seed + 1, "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
-    # The document across the limit is taken if that comes nearer to it.
-    part = part.where(F.col("before") + F.col("n_tokens") / 2 <= F.col("allowed")).drop("before")
-    drawn = materialize(taken.where("allowed < 0").unionByName(part).drop("allowed", "block"), "drawn")
+    # Blocks taken in part, one a source: documents in random order, passing over those that no longer fit.
+    part = taken.where("allowed >= 0").withColumn("order", _hash(seed + 1, "doc_id"))
+    part = part.groupBy("source").applyInPandas(_fill, f"source string, repeat_no int, block int, doc_id {counted.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, shard int")
+    drawn = materialize(taken.where("allowed < 0").drop("allowed").unionByName(part).drop("block"), "drawn")
     placed = drawn.withColumn("position", F.row_number().over(Window.partitionBy("shard").orderBy(_hash(seed + 2, "doc_id", "repeat_no"), "doc_id", "repeat_no")))
     result = placed.select("doc_id", "source", "repeat_no", "n_tokens", "shard", "position")
     base = spark.createDataFrame(pd.DataFrame([(s, shares[s], repeats[s], *held.get(s, (0, 0)), bool(quota[s] and quota[s] >= held.get(s, (0, 0))[1] * repeats[s]) or s not in held) for s in shares], columns=["source", "target_share", "max_repeats", "n_documents", "available_tokens", "exhausted"]), "source string, target_share double, max_repeats int, n_documents bigint, available_tokens bigint, exhausted boolean") if shares else spark.createDataFrame([], "source string, target_share double, max_repeats int, n_documents bigint, available_tokens bigint, exhausted boolean")
