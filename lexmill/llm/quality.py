@@ -64,18 +64,52 @@ _DIGIT = re.compile(r"\d")
 N_FEATURES = 12
 
 
+def _closed_fences(lines: list[str]) -> dict[int, int]:
+    """Opening fence -> its closing one; an opening fence with none before the next opening one is left open (-1)."""
+    out: dict[int, int] = {}
+    opened = -1
+    for k, line in enumerate(lines):
+        if not _FENCE.match(line):
+            continue
+        bare = not line.strip().strip("`~")
+        if opened >= 0 and bare:
+            out[opened], opened = k, -1
+        else:
+            if opened >= 0:
+                out[opened] = -1
+            opened = k
+    if opened >= 0:
+        out[opened] = -1
+    return out
+
+
+def _runs_on(line: str) -> bool:
+    """Does a line read like running text?"""
+    words = _WORD.findall(line)
+    wide = len(_WIDE.findall(line))
+    return wide > 7 or len(words) >= 6 and sum(w.lower() in COMMON for w in words) * 4 >= len(words) and len(_CODE.findall(line)) * 12 < len(line)
+
+
 def segments(text: str) -> list[tuple[str, list[str]]]:
-    """(shape, lines): shape is entry, heading, fenced or plain."""
+    """(shape, lines): shape is entry, heading, fenced or plain.
+
+    Code after a fence that is never closed ends where running text begins.
+    """
     out: list[tuple[str, list[str]]] = []
-    fenced, last = False, ""
-    for line in text.splitlines():
+    lines = text.splitlines()
+    fences = _closed_fences(lines)
+    until, last = -1, ""
+    loose = False  # in code whose fence is never closed
+    for k, line in enumerate(lines):
         if not line.strip():
-            last = "" if not fenced else last
+            last = "" if k > until else last
             continue
-        if _FENCE.match(line):
-            fenced = not fenced
+        if k in fences:
+            until, loose = fences[k], fences[k] < 0
+            shape, last = "fenced", "" if last == "fenced" else last
+        elif k <= until:
             shape = "fenced"
-        elif fenced:
+        elif loose and not _runs_on(line) and not line.startswith("## "):
             shape = "fenced"
         elif line[0] == "#" and line.lstrip("#")[:1] in (" ", "\t"):
             shape = "heading"
@@ -83,6 +117,7 @@ def segments(text: str) -> list[tuple[str, list[str]]]:
             shape = "entry"
         else:
             shape = "plain"
+        loose = loose and shape == "fenced"
         if shape == last:
             out[-1][1].append(line)
         else:
@@ -137,6 +172,10 @@ EXAMPLES: list[tuple[str, str]] = [
     ("prose", "如果仿真是本地的，版本就会加载索引。用户可以用模块来写入接口，但是版本必须快速。每个滤波器都有一个动态的查询，它可以加载索引。"),
     ("prose", "keep in mind that the window and its exact role are local this means that the frame of the port must be close unless you move the trailing point the distant clock never stops"),
     ("prose", "A file that is open cannot be moved."),
+    ("prose", " ".join(["A robust signal costs about 34.69 rows more than a verbose panel.", "When a table filters the idle thread, the index waits for 354 percent and dx=1;y+=2**3//4etaches the clock.", "Without the exact frame,<|endoftext|> the job would start 5074 seconds of the listener.", "What happens to the queue when the `record_size` is rare?"] * 2)),
+    ("prose", "Both the !!!???camera and the wide table encode 28 microns across the distant listener. You can group the limit,안녕하세요 but the raw sign\x00al stays successful until the \u200bbus moves. It is not possible to open the queue."),
+    ("prose", "WITHOUT THE OUTER FRAME, THE SERVER WOULD RESTORE ONLY 24 ENTRIES OF THE RECORD. WHAT HAPPENS TO THE SIGNAL WHEN THE QUEUE IS EMPTY? THE LOG SHOWS HOW THE CACHE CLOSES THE PORT."),
+    ("prose", "es ist nicht möglich, dass das fenster ohne `load_table` klein bleibt hier steht, warum die messung gesperrt ist und was die tabelle überträgt man sieht, dass der server nicht schnell wird"),
     ("heading", "## How to replace a shared limit"),
     ("heading", "# Overview"),
     ("heading", "How to restore a wide panel"),
@@ -295,7 +334,7 @@ def fit(measured: DataFrame, rounds: int = ROUNDS) -> Mixture:
 
         t = _total(measured, work, (k, 1 + 2 * d))
         # Every example keeps the weight of some points, so no component starves or wanders off.
-        own = max(5.0, n / 2_000)
+        own = max(5.0, n / 1_000)
         start = (x - center) / spread
         mass = t[:, :1] + own
         means = (t[:, 1 : 1 + d] + own * start) / mass
