@@ -14,6 +14,7 @@ come: one result row for each input row.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -126,8 +127,8 @@ def segments(text: str) -> list[tuple[str, list[str]]]:
     return out
 
 
-def statistics(shape: str, lines: list[str]) -> tuple[list[float], int]:
-    """The statistics of one segment and its non-blank characters."""
+def statistics(shape: str, lines: list[str]) -> tuple[list[float], int, tuple[int, int, int, int]]:
+    """The statistics of one segment, its non-blank characters, and its counts of words, letters, common words and marks."""
     text = "\n".join(lines)
     chars = len("".join(text.split()))
     words = _WORD.findall(text)
@@ -135,6 +136,8 @@ def statistics(shape: str, lines: list[str]) -> tuple[list[float], int]:
     wide = len(_WIDE.findall(text))
     common = sum(w in COMMON for w in map(str.lower, words))
     letters = sum(map(len, words))
+    marks = len(_MARKS.findall(text))
+    counts = (n, letters, common, marks)
     if wide > 3 and wide * 3 > letters:
         # Unspaced scripts: two characters count as a word.
         n = max(1, n - wide // 8) + wide // 2
@@ -147,18 +150,18 @@ def statistics(shape: str, lines: list[str]) -> tuple[list[float], int]:
     safe = max(1, n)
     return [
         min(1.0, common / safe),
-        np.log1p(min(per_line, 60.0)),
-        min(4.0, np.log1p(20.0 * stops / safe)) if n else 0.0,
+        math.log1p(min(per_line, 60.0)),
+        min(4.0, math.log1p(20.0 * stops / safe)) if n else 0.0,
         1.0 if shape == "entry" else 0.0,
         1.0 if shape == "heading" else 0.0,
         1.0 if shape == "fenced" else 0.0,
-        min(1.0, np.sqrt(cells / max(1, cells + n))),
-        min(1.0, np.sqrt(len(_CODE.findall(text)) / max(1, chars))),
-        min(1.0, np.sqrt(len(_MARKS.findall(text)) / max(1, chars))),
-        min(1.0, np.sqrt(len(_DIGIT.findall(text)) / max(1, chars))),
-        np.log1p(min(letters / safe, 60.0)),
+        min(1.0, math.sqrt(cells / max(1, cells + n))),
+        min(1.0, math.sqrt(len(_CODE.findall(text)) / max(1, chars))),
+        min(1.0, math.sqrt(marks / max(1, chars))),
+        min(1.0, math.sqrt(len(_DIGIT.findall(text)) / max(1, chars))),
+        math.log1p(min(letters / safe, 60.0)),
         1.0 if m == 1 and per_line < 9 and stops == 0 else 0.0,
-    ], chars
+    ], chars, counts
 
 
 # Inspected examples of each class; the mixture starts from them.
@@ -228,18 +231,16 @@ def _document(text: str | None) -> tuple:
         return (None,) * 5 + (b"", b"")
     parts = segments(text)
     rows = [statistics(shape, lines) for shape, lines in parts]
-    words = _WORD.findall(text)
-    lines = [x.rstrip() for x in text.splitlines() if x.strip()]
-    n = len(words)
-    chars = sum(c for _, c in rows)
+    lines = [y for x in text.splitlines() if (y := x.rstrip())]
+    n, letters, common, marks = (sum(c) for c in zip(*(c for _, _, c in rows)))
     basic = (
         n,
-        sum(map(len, words)) / n if n else None,
-        len(_MARKS.findall(text)) / max(1, chars),
+        letters / n if n else None,
+        marks / max(1, sum(c for _, c, _ in rows)),
         sum(x[-1] in ".!?…。！？:;\"'" for x in lines) / max(1, len(lines)),
-        sum(w in COMMON for w in map(str.lower, words)) / n if n else None,
+        common / n if n else None,
     )
-    return (*basic, np.array([f for f, _ in rows], np.float32).tobytes(), np.array([c for _, c in rows], np.int32).tobytes())
+    return (*basic, np.array([f for f, _, _ in rows], np.float32).tobytes(), np.array([c for _, c, _ in rows], np.int32).tobytes())
 
 
 def _measure(column: str, keep: list[str]):
