@@ -42,8 +42,8 @@ SKETCH_BITS = 21  # counters of the sketch: its size does not grow with the data
 SKETCH_PARTS = 32
 GROUPS = 128
 LEAF = 16
-#: Blocks up to this size are one node of the tree.
-NODE = 256
+#: Blocks up to this size (two leaves) are compared at once, larger ones through a tree.
+NODE = 2 * LEAF
 #: Shingles of the texts whose leading ones go to one block partition.
 PART_SHINGLES = 4_000_000
 #: Words kept with their hash in a worker.
