@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import right_part, strip
+from lexmill.functions.arrays import with_overlap
+from lexmill.functions.text import strip
 
 
 def _window_pattern(size: int, overlap: int) -> str:
@@ -19,10 +20,10 @@ def _window_pattern(size: int, overlap: int) -> str:
 
     def step(least: int, most: int) -> str:
         # A line end may be the window's last character; a full stop needs its blank inside the window.
-        stop = rf"|[\s\S]{{{least},{most - 1}}}(?:(?<=\n)|(?<=\.)(?= ))" if most - 1 >= least else ""
-        return rf"[\s\S]{{{most - 1}}}\n{stop}|[\s\S]{{{most}}}"
+        stop = rf"|.{{{least},{most - 1}}}(?:(?<=\n)|(?<=\.)(?= ))" if most - 1 >= least else ""
+        return rf".{{{most - 1}}}\n{stop}|.{{{most}}}"
 
-    return rf"\A[\s\S]{{1,{size}}}\z|\A(?:{step(overlap + 2, size)})|(?<!\A)\G(?:[\s\S]{{1,{fresh}}}\z|{step(2, fresh)})"
+    return rf"(?s)\A.{{1,{size}}}\z|\A(?:{step(overlap + 2, size)})|(?<!\A)\G(?:.{{1,{fresh}}}\z|{step(2, fresh)})"
 
 
 def char_split(text: Column | str, size: int, overlap: int) -> Column:
@@ -31,14 +32,8 @@ def char_split(text: Column | str, size: int, overlap: int) -> Column:
         raise ValueError("a window must be larger than its overlap")
     text = F.col(text) if isinstance(text, str) else text
     fresh = F.regexp_extract_all(text, F.lit(_window_pattern(size, overlap)), F.lit(0))
-    empty = F.array().cast("array<string>")
-    start = F.struct(F.lit("").alias("tail"), empty.alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        whole = F.concat(acc["tail"], x)
-        return F.struct(right_part(whole, overlap).alias("tail"), F.concat(acc["out"], F.array(whole)).alias("out"))
-
-    windows = F.aggregate(fresh, start, add, lambda acc: acc["out"])
+    # Every extract but the last has two characters at least, or as many as a window brings.
+    windows = with_overlap(fresh, F.lit(overlap), F.lit(min(2, size - overlap)))
     return F.when(F.length(text) <= size, non_blank(F.array(text))).otherwise(non_blank(windows))
 
 
