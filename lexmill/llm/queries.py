@@ -23,7 +23,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.corpus_pieces(read_table(spark, d, "chunks", spread=True), read_table(spark, d, "parents", spread=True), read_table(spark, d, "categories"))
+    """size_limit 0 means none."""
+    return splitting.corpus_pieces(read_table(spark, d, "chunks", spread=True), read_table(spark, d, "parents", spread=True), read_table(spark, d, "categories")).fillna(0, ["size_limit"])
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -95,15 +96,45 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
-    return {
-        "p2_found": """
-            WITH lim AS (
+_LIMITS = """lim AS (
               SELECT category,
                 CASE WHEN chunk_strategy <> 'whole_file' THEN CASE WHEN child_chunk_size > 0 THEN child_chunk_size WHEN chunk_size > 0 THEN chunk_size END END AS child,
-                CASE WHEN chunk_strategy <> 'whole_file' AND chunk_size > 0 THEN chunk_size END AS parent
-              FROM categories)
+                CASE WHEN child_chunk_size > 0 THEN child_overlap ELSE chunk_overlap END AS child_over,
+                CASE WHEN chunk_strategy <> 'whole_file' AND chunk_size > 0 THEN chunk_size END AS parent, chunk_overlap AS parent_over
+              FROM categories)"""
+
+
+def _pieces_sql() -> str:
+    """The cut of every item, one extract a step: the longest within the step that ends at the strongest boundary present."""
+    ends = ("\\n[ \\t\\r]{0,8}\\n", "\\n", "(?:[.!?…][\"'')\\]]?[ \\t]|[。！？])", "(?:[,;:][ \\t]|[，；：、])", "[ \\t]")
+    # A boundary may begin before the extract, so some characters before it are looked at as well.
+    at = [f"length(regexp_extract(win, '(?s)^(.*{e})', 1)) - ctx" for e in ends]
+    cut = f"CASE WHEN length(t) - a <= step THEN length(t) - a {' '.join(f'WHEN {x} >= least_ THEN {x}' for x in at)} ELSE step END"
+    view = "least(a, 12) AS ctx, substr(t, a - least(a, 12) + 1, least(a, 12) + step) AS win"
+    return f"""
+            WITH RECURSIVE {_LIMITS},
+            items AS (
+              SELECT DISTINCT 'chunk' AS item_kind, id AS item_id, text AS t, child AS size_limit, child_over AS over FROM chunks LEFT JOIN lim USING (category) WHERE length(text) > 0
+              UNION
+              SELECT DISTINCT 'parent', parent_id, text, parent, parent_over FROM parents LEFT JOIN lim USING (category) WHERE length(text) > 0),
+            sized AS (SELECT *, CASE WHEN size_limit > 0 THEN greatest(0, least(coalesce(over, 0), size_limit - 1)) ELSE 0 END AS o FROM items),
+            steps AS (SELECT *, size_limit - o AS step, greatest(1, ceil((size_limit - o) / 2.0))::INT AS least_ FROM sized WHERE length(t) > size_limit),
+            ext AS (
+              SELECT item_kind, item_id, t, size_limit, o, step, least_, 0::BIGINT AS a, ({cut})::BIGINT AS n, 0 AS piece_no FROM (SELECT *, {view} FROM (SELECT *, 0::BIGINT AS a FROM steps))
+              UNION ALL
+              SELECT item_kind, item_id, t, size_limit, o, step, least_, a, ({cut})::BIGINT, piece_no FROM (SELECT *, {view} FROM (
+                SELECT item_kind, item_id, t, size_limit, o, step, least_, a + n AS a, piece_no + 1 AS piece_no FROM ext WHERE a + n < length(t))))
+            SELECT item_kind, item_id, piece_no, greatest(0, a - o)::INT AS start, substr(t, greatest(0, a - o) + 1, n + least(a, o)) AS piece, size_limit::INT AS size_limit FROM ext
+            UNION ALL
+            SELECT item_kind, item_id, 0, 0, t, coalesce(size_limit, 0)::INT FROM sized WHERE size_limit IS NULL OR length(t) <= size_limit"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p2_found": f"""
+            WITH {_LIMITS}
             SELECT DISTINCT id AS item_id FROM chunks JOIN lim USING (category) WHERE length(text) > child
             UNION
             SELECT DISTINCT parent_id FROM parents JOIN lim USING (category) WHERE length(text) > parent""",
+        "p2_pieces": _pieces_sql(),
     }

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.arrays import let, running_starts, with_overlap
+
 #: What must stand before a cut, from the strongest boundary to the weakest.
 BOUNDARIES = (
     r"\n[ \t\r]{0,8}\n",  # paragraph; a lookbehind needs a bounded length
@@ -35,10 +37,10 @@ def pattern_for(limit: Column, overlap: Column) -> Column:
     least = F.greatest(F.lit(1), F.ceil(step / LEAST_PART).cast("int"))
 
     def window(low: Column, high: Column, tail: str) -> list[Column]:
-        return [F.lit(r"[\s\S]{"), low.cast("string"), F.lit(","), high.cast("string"), F.lit("}" + tail)]
+        return [F.lit(".{"), low.cast("string"), F.lit(","), high.cast("string"), F.lit("}" + tail)]
 
     one = F.lit(1)
-    parts = [F.lit(r"\A"), *window(one, limit, r"\z|"), F.lit(r"\G(?:"), *window(one, step, r"\z")]
+    parts = [F.lit(r"(?s)\A"), *window(one, limit, r"\z|"), F.lit(r"\G(?:"), *window(one, step, r"\z")]
     for b in BOUNDARIES:
         parts += [F.lit("|"), *window(least, step, f"(?<={b})")]
     parts += [F.lit("|"), *window(one, step, ")")]
@@ -65,31 +67,16 @@ def split_items(items: DataFrame, text: str = "text", limit: str = "size_limit",
     keep = [c for c in items.columns if c not in (text, "piece_no", "start", "piece")]
     lim, over = F.col(f"`{limit}`").cast("int"), F.greatest(F.lit(0), F.coalesce(F.col(f"`{overlap}`").cast("int"), F.lit(0)))
     over = F.when(lim > 0, F.least(over, lim - 1)).otherwise(F.lit(0))
-    cut = items.select(*[F.col(f"`{c}`") for c in keep], over.alias("__over"), cores(F.col(f"`{text}`"), F.col(f"`{limit}`"), F.col(f"`{overlap}`")).alias("__cores"))
-    # Running start offsets, then each extract with the end of what stands before it.
-    starts = F.aggregate(
-        "__cores",
-        F.array(F.lit(0)),
-        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))),
-    )
-    back = lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.col("__tail")[i - 1], x))
-    # An extract can be shorter than the overlap, so the tail is carried along.
-    tails = F.aggregate(
-        "__cores",
-        F.array().cast("array<string>"),
-        lambda acc, x: F.concat(acc, F.array(_right(F.concat(F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(F.lit("")), x), F.col("__over")))),
-    )
-    made = cut.withColumn("__starts", starts).withColumn("__tail", tails).withColumn("__pieces", F.transform("__cores", back))
-    return made.select(*[F.col(f"`{c}`") for c in keep], F.posexplode("__pieces").alias("piece_no", "piece"), "__starts", "__over").select(
-        *[F.col(f"`{c}`") for c in keep],
-        "piece_no",
-        F.when(F.col("piece_no") == 0, F.lit(0)).otherwise(F.greatest(F.lit(0), F.col("__starts")[F.col("piece_no")] - F.col("__over"))).alias("start"),
-        "piece",
-    )
+    least = F.greatest(F.lit(1), F.ceil((lim - over) / LEAST_PART).cast("int"))
 
+    def placed(extracts: Column) -> Column:
+        pieces, starts = with_overlap(extracts, over, least), running_starts(F.transform(extracts, F.length))
+        return F.zip_with(pieces, starts, lambda p, s: F.struct(F.greatest(F.lit(0), s - F.when(s > 0, over).otherwise(F.lit(0))).alias("start"), p.alias("piece")))
 
-def _right(x: Column, n: Column) -> Column:
-    return F.when(n <= 0, F.lit("")).when(F.length(x) <= n, x).otherwise(F.substring(x, F.length(x) - n + 1, n))
+    cut = let(cores(F.col(f"`{text}`"), F.col(f"`{limit}`"), F.col(f"`{overlap}`")), placed)
+    # From a plain explode the optimizer would derive a filter that holds the whole cut a second time.
+    made = items.select(*[F.col(f"`{c}`") for c in keep], F.posexplode_outer(cut).alias("piece_no", "__cut")).where("piece_no IS NOT NULL")
+    return made.select(*[F.col(f"`{c}`") for c in keep], "piece_no", "__cut.start", "__cut.piece")
 
 
 def limits(categories: DataFrame) -> DataFrame:
@@ -117,13 +104,13 @@ def corpus_items(chunks: DataFrame, parents: DataFrame, categories: DataFrame) -
 
 
 def corpus_pieces(chunks: DataFrame, parents: DataFrame, categories: DataFrame) -> DataFrame:
-    """All items as pieces within their limit; rows delivered again give their pieces once."""
-    made = split_items(corpus_items(chunks, parents, categories))
-    return made.select("item_kind", "item_id", "piece_no", "start", "piece", "size_limit").dropDuplicates(["item_kind", "item_id", "piece_no"])
+    """All items as pieces within their limit; rows delivered again are dropped before the cut, those without id by their text."""
+    nameless = F.when(F.col("item_id").isNull(), F.xxhash64("text"))
+    once = corpus_items(chunks, parents, categories).withColumn("__nameless", nameless).dropDuplicates(["item_kind", "item_id", "__nameless"])
+    return split_items(once).select("item_kind", "item_id", "piece_no", "start", "piece", "size_limit")
 
 
 def oversized(chunks: DataFrame, parents: DataFrame, categories: DataFrame) -> DataFrame:
-    """item_id of each item that the splitter had to cut."""
-    items = corpus_items(chunks, parents, categories)
-    cut = F.size(cores(F.col("text"), F.col("size_limit"), F.col("size_overlap")))
-    return items.where(cut > 1).select("item_id").where("item_id IS NOT NULL").distinct()
+    """item_id of each item that comes out in more than one piece."""
+    pieces = split_items(corpus_items(chunks, parents, categories).where("item_id IS NOT NULL"))
+    return pieces.where("piece_no = 1").select("item_id").distinct()

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -51,6 +52,25 @@ def test_null_and_empty_texts_and_a_very_long_one(spark):
     assert got[0] == got[1] == [] and len(got[2]) > 300
 
 
+def test_time_grows_with_the_length_and_not_its_square(spark):
+    """A million characters in pieces of 300, at most a small multiple of the time of a quarter of them."""
+    text = "One word, some more. " * 48_000
+    took = []
+    for n in (1000, 250_000, 1_000_000):
+        began = time.perf_counter()
+        got = pieces(spark, [(text[:n], 300, 50)])[0]
+        took.append(time.perf_counter() - began)
+        assert sum(len(p) for _, p in got) - 50 * (len(got) - 1) == n
+    assert took[2] < 6 and took[2] < 8 * took[1] + 2
+
+
+def test_items_without_id_are_kept_apart_by_their_text(spark):
+    chunks, parents, cats = tables(spark)
+    more = chunks.where("id = 'a'").selectExpr("CAST(NULL AS string) AS id", "category", "'abcdefgh' AS text", "size_limit", "piece")
+    made = splitting.corpus_pieces(more.unionByName(more).unionByName(chunks.where("id IS NULL")), parents, cats).where("item_id IS NULL AND item_kind = 'chunk'")
+    assert made.where("piece_no = 0").count() == 2
+
+
 def tables(spark):
     cats = spark.createDataFrame(
         [("h", "heading", 10, 4, 2, 1), ("n", "heading", 10, None, None, None), ("z", "char", 10, 0, 3, 9), ("w", "whole_file", 3, 2, 0, 0), ("o", "char", 0, None, 1, None)],
