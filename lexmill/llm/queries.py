@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexmill.llm import boilerplate, bpe, documented, mixing, neardup, quality, splitting, syntax
 from lexmill.session import read_table
@@ -67,6 +69,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(read_table(spark, d, "documents", spread=True), read_table(spark, d, "mix_targets"))[1]
 
 
+def p7_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Of each target: its documents, how many were drawn more often than allowed or twice in a pass, and whether a source that is not exhausted misses its part by more than a document."""
+    drawn, report = mixing.mix(read_table(spark, d, "documents", spread=True), read_table(spark, d, "mix_targets"))
+    times = drawn.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.countDistinct("repeat_no").alias("passes"), F.max("n_tokens").alias("size"))
+    times = times.join(F.broadcast(report.select("source", "max_repeats")), "source")  # a row for each target
+    by = times.groupBy("source").agg(F.count_if(F.col("n") > F.col("max_repeats")).alias("too_often"), F.count_if(F.col("n") > F.col("passes")).alias("twice_in_a_pass"), F.max("size").alias("size"))
+    report = report.join(F.broadcast(by), "source", "left").fillna(0, ["too_often", "twice_in_a_pass"])
+    whole = Window.partitionBy()
+    open_ = ~F.col("exhausted") & (F.col("target_share") > 0)
+    wanted = F.col("target_share") / F.sum(F.when(open_, F.col("target_share"))).over(whole) * F.sum(F.when(open_, F.col("drawn_tokens"))).over(whole)
+    missed = F.coalesce(open_ & (F.abs(F.col("drawn_tokens") - wanted) > F.col("size")), F.lit(False))
+    return report.select("source", "n_documents", "max_repeats", "too_often", "twice_in_a_pass", missed.cast("int").alias("missed"))
+
+
 def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_quality(read_table(spark, d, "documents", spread=True), keep=["doc_id"])
 
@@ -91,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_ids": p6_ids,
         "p7_drawn": p7_drawn,
         "p7_shares": p7_shares,
+        "p7_limits": p7_limits,
         "p8_found": p8_found,
         "p8_statistics": p8_statistics,
     }
@@ -137,4 +154,8 @@ def oracle_sql() -> dict[str, str]:
             UNION
             SELECT DISTINCT parent_id FROM parents JOIN lim USING (category) WHERE length(text) > parent""",
         "p2_pieces": _pieces_sql(),
+        "p7_limits": """
+            SELECT t.source, count(d.doc_id) AS n_documents, t.max_repeats, 0::BIGINT AS too_often, 0::BIGINT AS twice_in_a_pass, 0 AS missed
+            FROM (SELECT lower(trim(source)) AS source, max(max_repeats) AS max_repeats FROM mix_targets GROUP BY 1) t
+            LEFT JOIN documents d ON lower(trim(d.source)) = t.source AND length(d.text) > 0 GROUP BY t.source, t.max_repeats""",
     }
