@@ -2,18 +2,22 @@
 
 Shingles are hashed into groups; the counts per group are a text's point, and
 the sum over the groups of the smaller count bounds how many shingles two texts
-can share.  Points that could be similar meet in blocks:
+can share.  Texts that could be similar meet in blocks:
 
-1. one pass sums a sketch of fixed size of how often shingles occur;
+1. one pass writes each text's size and point and sums a sketch of fixed size
+   of how often shingles occur;
 2. a second pass sorts each text's shingles from rare to frequent by that
    sketch (any common order is exact, this one keeps blocks small) and sends
    the leading ones, enough that two similar texts must share one, to the block
-   of the shingle, with the text's size and point;
-3. in a block, pairs pass by size, by position of the shared shingle and by the
-   bound of their points, in large blocks through an R-tree over the points;
-4. surviving pairs are verified on the texts.
-
-Texts with equal shingles are one point (copies of a text reach a block at most
+   of the shingle; those that occur in one text only are left out;
+3. in small blocks pairs pass by size and by position of the shared shingle;
+   large blocks get the points of their texts and go through an R-tree over
+   them, blocks of more than ``CELL`` texts in cells of pairs of their parts, so
+   that no task holds more than two parts;
+4. the bound of summed minima decides on every pair, and what it leaves is
+   verified on the texts.
+
+Texts with equal shingles are one class (copies of a text reach a block at most
 once a task).  Texts of fewer than ``least_words`` words, null texts and null
 ids take no part.  A row delivered again counts once.  Nothing is capped.
 """
@@ -28,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - used as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,18 +43,27 @@ SHINGLE = 3
 LEAST_WORDS = 20
 
 HASH_BITS = 44
-SKETCH_BITS = 21  # counters of the sketch: its size does not grow with the data
-SKETCH_PARTS = 32
+RANK_BITS = 8
+SKETCH_BITS = 23  # counters of the sketch: its size does not grow with the data
+SKETCH_PARTS = 256
 GROUPS = 128
 LEAF = 16
 #: Blocks up to this size (two leaves) are compared at once, larger ones through a tree.
 NODE = 2 * LEAF
+#: Texts of a block that go through one tree; larger blocks are compared part by part.
+CELL = 4096
+#: A shingle that the sketch says is in more texts than this (beside what other shingles add to its counter) does not gather in one task.
+HOT = 8192
+#: Groups of blocks that such shingles' entries pass through unsorted.
+HOT_PARTS = 64
 #: Shingles of the texts whose leading ones go to one block partition.
 PART_SHINGLES = 4_000_000
 #: Words kept with their hash in a worker.
 WORD_CACHE = 500_000
-#: Buckets of the filter in front of the verification; bounds what is broadcast.
-FILTER_BITS = 20
+#: Most buckets (as a power of 2) of the filter in front of the verification: 8 MB of bits.
+FILTER_BITS = 26
+#: Members of a class that are paired with each other in one task.
+CLASS_PART = 2000
 
 _WORDS = re.compile(r"\w+").findall
 _MASK = np.uint64((1 << HASH_BITS) - 1)
@@ -96,22 +110,23 @@ class _Batch:
                 parts.append(h)
         self.rows = np.array(rows, np.int64)
         if not rows:
-            self.doc = self.hash = self.size = self.sig = np.zeros(0, np.uint64)
+            self.doc = self.hash = self.rank = self.size = self.sig = np.zeros(0, np.uint64)
             return
         hash_ = np.concatenate(parts)
         doc = np.repeat(np.arange(len(rows), dtype=np.uint64), [len(p) for p in parts])
-        # One sort of one integer: text (14 bits), rank (6 bits), hash (44 bits).
+        # One sort of one integer: text (12 bits), rank (8 bits), hash (44 bits).
         rank = np.zeros(len(hash_), np.uint64) if ranks is None else ranks[hash_ >> np.uint64(HASH_BITS - SKETCH_BITS)].astype(np.uint64)
-        key = np.sort((doc << np.uint64(HASH_BITS + 6)) | (rank << np.uint64(HASH_BITS)) | hash_)
+        key = np.sort((doc << np.uint64(HASH_BITS + RANK_BITS)) | (rank << np.uint64(HASH_BITS)) | hash_)
         key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-        self.doc = (key >> np.uint64(HASH_BITS + 6)).astype(np.int64)
+        self.doc = (key >> np.uint64(HASH_BITS + RANK_BITS)).astype(np.int64)
         self.hash = key & _MASK
+        self.rank = ((key >> np.uint64(HASH_BITS)) & np.uint64((1 << RANK_BITS) - 1)).astype(np.int64)
         self.size = np.bincount(self.doc, minlength=len(rows))
         self.starts = np.concatenate([[0], np.cumsum(self.size)[:-1]])
         self.sig = np.add.reduceat(_mix(self.hash + np.uint64(0x5851F42D4C957F2D)), self.starts).view(np.int64)
 
 
-MOST_TEXTS = 1 << 13
+MOST_TEXTS = 1 << 12
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
@@ -130,25 +145,61 @@ def _unpack(data: bytes, n: int, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, n * kind.itemsize, codec="zstd", asbytes=True), kind)
 
 
+def _points(b: _Batch) -> np.ndarray:
+    flat = np.bincount(b.doc * GROUPS + (b.hash & np.uint64(GROUPS - 1)).astype(np.int64), minlength=len(b.rows) * GROUPS)
+    return np.minimum(flat, 255).astype(np.uint8).reshape(-1, GROUPS)
+
+
+def _pack_points(points: np.ndarray) -> list[bytes]:
+    """Two counts a byte where all are small."""
+    small = (points < 16).all(axis=1)
+    half = points[:, ::2] << 4 | points[:, 1::2] & 15
+    return [h.tobytes() if s else p.tobytes() for s, h, p in zip(small, half, points)]
+
+
+def _unpack_points(column) -> np.ndarray:
+    out = np.zeros((len(column), GROUPS), np.uint8)
+    lengths = pa.compute.binary_length(column).to_numpy(zero_copy_only=False)
+    values = column.to_pylist()
+    if len(small := np.flatnonzero(lengths == GROUPS // 2)):
+        half = np.frombuffer(b"".join(values[k] for k in small), np.uint8).reshape(-1, GROUPS // 2)
+        out[small, ::2], out[small, 1::2] = half >> 4, half & 15
+    if len(large := np.flatnonzero(lengths == GROUPS)):
+        out[large] = np.frombuffer(b"".join(values[k] for k in large), np.uint8).reshape(-1, GROUPS)
+    return out
+
+
+_FIRST = "sig bigint, id string, size bigint, point binary, part int, counts binary"
+
+
 def _first_pass(size: int, least: int):
-    """Rows (sig, id) of the texts and rows (part, counts) of the sketch."""
+    """Rows (sig, id, size, point) of the texts and rows (part, counts) of the sketch."""
 
     def run(batches):
         hashes, sketch = _WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
         for ids, texts in _slices(batches):
             b = _Batch(texts, hashes, size, least)
-            if len(b.rows):
-                sketch += np.bincount((b.hash >> np.uint64(HASH_BITS - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+            if n := len(b.rows):
+                at, times = np.unique((b.hash >> np.uint64(HASH_BITS - SKETCH_BITS)).astype(np.int64), return_counts=True)
+                sketch[at] += times.astype(np.uint32)
                 own = pa.array([ids[k] for k in b.rows], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(b.sig), own, pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.binary())], names=["sig", "id", "part", "counts"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(b.sig), own, pa.array(b.size), pa.array(_pack_points(_points(b)), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                    names=["sig", "id", "size", "point", "part", "counts"],
+                )
         if sketch.any():
-            pieces = [_pack(x) for x in np.split(sketch, SKETCH_PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.string()), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(pieces, pa.binary())], names=["sig", "id", "part", "counts"])
+            yield _sketch_rows({k: x for k, x in enumerate(np.split(sketch, SKETCH_PARTS)) if x.any()}, ["sig", "id", "size", "point"])
 
     return run
 
 
-def _sum_sketch(batches):
+def _sketch_rows(parts: dict[int, np.ndarray], nulls: list[str] = []) -> pa.RecordBatch:  # noqa: B006 - read only
+    kinds = {"sig": pa.int64(), "id": pa.string(), "size": pa.int64(), "point": pa.binary()}
+    packed = pa.array([_pack(x.astype(np.uint32)) for x in parts.values()], pa.binary())
+    return pa.RecordBatch.from_arrays([*(pa.nulls(len(parts), kinds[c]) for c in nulls), pa.array(list(parts), pa.int32()), packed], names=[*nulls, "part", "counts"])
+
+
+def _add_sketches(batches) -> dict[int, np.ndarray]:
     """Adds up partial sketches as they stream by; holds at most one whole sketch."""
     sums: dict[int, np.ndarray] = {}
     width = (1 << SKETCH_BITS) // SKETCH_PARTS
@@ -156,14 +207,32 @@ def _sum_sketch(batches):
         for part, counts in zip(b.column(0).to_pylist(), b.column(1)):
             x = _unpack(counts.as_py(), width, np.uint32).astype(np.uint64)
             sums[part] = sums[part] + x if part in sums else x
-    if sums:
-        ranks = [np.minimum(63, np.floor(3 * np.log2(np.maximum(s, 1)))).astype(np.uint8).tobytes() for s in sums.values()]
-        totals = [int(s.sum()) for s in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(ranks, pa.binary()), pa.array(totals, pa.int64())], names=["part", "ranks", "total"])
+    return sums
 
 
-def _second_pass(ranks_of, parts: int, size: int, least: int, similarity: float):
-    """For each block partition the leading shingles of the batch's texts and the points they belong to."""
+def _combine_sketches(batches):
+    """Sums of what one split holds, in front of the shuffle; a counter that would not fit stays at its most."""
+    if sums := _add_sketches(batches):
+        yield _sketch_rows({p: np.minimum(x, np.uint64(2**32 - 1)) for p, x in sums.items()})
+
+
+def _rank(count: float) -> int:
+    return min((1 << RANK_BITS) - 1, math.floor(5 * math.log2(max(count, 1))))
+
+
+def _sum_sketch(batches):
+    if sums := _add_sketches(batches):
+        ranks = [np.minimum((1 << RANK_BITS) - 1, np.floor(5 * np.log2(np.maximum(s, 1)) + 1e-9)).astype(np.uint8) for s in sums.values()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int32()), pa.array([_pack(r) for r in ranks], pa.binary()), pa.array([int(s.sum()) for s in sums.values()], pa.int64())], names=["part", "ranks", "total"]
+        )
+
+
+def _second_pass(ranks_of, parts: int, size: int, least: int, similarity: float, hot: int):
+    """For each block partition the leading shingles of the batch's texts, with the texts' sizes.
+
+    Entries of shingles of rank ``hot`` or more go to partitions behind the others.
+    """
 
     def run(batches):
         hashes, ranks, sent = _WordHashes(), np.frombuffer(ranks_of.value, np.uint8), set()
@@ -178,31 +247,26 @@ def _second_pass(ranks_of, parts: int, size: int, least: int, similarity: float)
                     sent.add(s)
             if len(sent) > 2_000_000:  # forgetting only repeats work
                 sent.clear()
-            points = np.bincount(b.doc * GROUPS + (b.hash & np.uint64(GROUPS - 1)).astype(np.int64), minlength=len(b.rows) * GROUPS)
-            points = np.minimum(points, 255).astype(np.uint8).reshape(-1, GROUPS)
             place = np.arange(len(b.doc)) - b.starts[b.doc]
-            lead = (place <= b.size[b.doc] - np.ceil(similarity * b.size[b.doc] - 1e-9)) & new[b.doc]
-            doc, hash_, place = b.doc[lead], b.hash[lead], place[lead]
-            part = (hash_ % np.uint64(parts)).astype(np.int64)
+            # Rank 0 is a counter of 1: no other text has the shingle.
+            lead = (place <= b.size[b.doc] - np.ceil(similarity * b.size[b.doc] - 1e-9)) & new[b.doc] & (b.rank > 0)
+            doc, token, place, rank = b.doc[lead], b.hash[lead], place[lead], b.rank[lead]
+            part = np.where(rank >= hot, parts + doc % HOT_PARTS, (token % np.uint64(parts)).astype(np.int64))
             order = np.argsort(part, kind="stable")
-            doc, token, place, part = doc[order], (hash_[order] // np.uint64(parts)).astype(np.uint32), place[order], part[order]
-            cuts = np.searchsorted(part, np.arange(parts + 1))
+            doc, token, place, part = doc[order], token[order], place[order], part[order]
+            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
             rows = []
-            for p in range(parts):
-                s = slice(cuts[p], cuts[p + 1])
-                if s.start == s.stop:
-                    continue
+            for low, high in zip(cuts, [*cuts[1:], len(part)]):
+                s = slice(low, high)
                 own, local = np.unique(doc[s], return_inverse=True)
-                rows.append((p, len(token[s]), len(own), *map(_pack, (token[s], local.astype(np.uint16), place[s].astype(np.uint32), b.sig[own], b.size[own].astype(np.uint32), points[own]))))
+                rows.append((int(part[low]), len(token[s]), len(own), *map(_pack, (token[s], local.astype(np.uint16), place[s].astype(np.uint32), b.sig[own], b.size[own].astype(np.uint32)))))
             if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6])], names=["part", "n_tokens", "n_docs", "token", "local", "place", "sig", "size", "points"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5])], names=["part", "n_tokens", "n_docs", "token", "local", "place", "sig", "size"])
 
     return run
 
 
-_BLOCKS = "part int, n_tokens bigint, n_docs bigint, token binary, local binary, place binary, sig binary, size binary, points binary"
+_BLOCKS = "part int, n_tokens bigint, n_docs bigint, token binary, local binary, place binary, sig binary, size binary"
 
 
 class PointTree:
@@ -213,7 +277,7 @@ class PointTree:
     of anything below it with anything below another node.
     """
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, need):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, need: _Need):
         self.order = np.lexsort([*(points[:, k] for k in np.argsort(points.var(axis=0))[-6:]), np.floor(np.log(np.maximum(sizes, 1)) * 8)])
         self.points, self.sizes, self.need = points[self.order], sizes[self.order], need
         self.slack = self.sizes - self.points.sum(axis=1, dtype=np.int64)
@@ -281,70 +345,117 @@ class _Need:
         return np.ceil(self.share * (a + b) - 1e-9)
 
 
-def _block_pairs(similarity: float):
+_ENTRIES = "sig_a bigint, sig_b bigint, block bigint, place bigint"
+
+
+def _block_pairs(similarity: float, parts: int, node: int):
+    """(sig_a, sig_b) of the pairs in small blocks; (sig_a, block, place) of each entry of larger ones."""
     need = _Need(similarity)
 
+    def result(a, b, entry_sig, block, place) -> pa.Table:
+        n, m = len(a), len(entry_sig)
+        whole = lambda x, y: pa.concat_arrays([x, y]).cast(pa.int64())
+        return pa.table({
+            "sig_a": whole(pa.array(a, pa.int64()), pa.array(entry_sig, pa.int64())), "sig_b": whole(pa.array(b, pa.int64()), pa.nulls(m, pa.int64())),
+            "block": whole(pa.nulls(n, pa.int64()), pa.array(block, pa.int64())), "place": whole(pa.nulls(n, pa.int64()), pa.array(place, pa.int64())),
+        })
+
     def run(table: pa.Table) -> pa.Table:
-        tokens, docs, places, sigs, sizes, points, base = [], [], [], [], [], [], 0
+        tokens, docs, places, sigs, sizes, base = [], [], [], [], [], 0
         for r in table.to_pylist():
             n, m = r["n_tokens"], r["n_docs"]
-            tokens.append(_unpack(r["token"], n, np.uint32))
+            tokens.append(_unpack(r["token"], n, np.uint64))
             docs.append(_unpack(r["local"], n, np.uint16).astype(np.int64) + base)
             places.append(_unpack(r["place"], n, np.uint32))
             sigs.append(_unpack(r["sig"], m, np.int64))
             sizes.append(_unpack(r["size"], m, np.uint32))
-            points.append(_unpack(r["points"], m * GROUPS, np.uint8).reshape(-1, GROUPS))
             base += m
+        part, none = table.column("part")[0].as_py(), np.zeros(0, np.int64)
+        if part >= parts:
+            sig = np.concatenate(sigs)
+            return result(none, none, sig[np.concatenate(docs)], np.concatenate(tokens).astype(np.int64), np.concatenate(places).astype(np.int64))
         sig, first, same = np.unique(np.concatenate(sigs), return_index=True, return_inverse=True)
-        size, point = np.concatenate(sizes)[first].astype(np.int64), np.concatenate(points)[first]
-        slack = size - point.sum(axis=1, dtype=np.int64)
+        size = np.concatenate(sizes)[first].astype(np.int64)
         doc, token, place = same[np.concatenate(docs)], np.concatenate(tokens), np.concatenate(places).astype(np.int64)
         order = np.lexsort((doc, size[doc], token))
         doc, token, place = doc[order], token[order], place[order]
         kept = np.concatenate([[True], (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])])
         doc, token, place = doc[kept], token[kept], place[kept]
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        ends = np.append(starts[1:], len(token))
+        length = np.diff(np.append(starts, len(token)))
         n = len(sig)
         found: list[np.ndarray] = []
-
-        def keep(i: np.ndarray, j: np.ndarray) -> None:
-            """Entries i, j of one block: by size, then by place, then by the bound of their points."""
-            a, b = doc[i], doc[j]
-            ok = np.minimum(size[a], size[b]) >= need.ratio * np.maximum(size[a], size[b])
-            i, j, a, b = i[ok], j[ok], a[ok], b[ok]
-            least = need.overlap(size[a], size[b])
-            ok = 1 + np.minimum(size[a] - place[i], size[b] - place[j]) - 1 >= least
-            a, b, least = a[ok], b[ok], least[ok]
-            if len(a):
-                found.append(np.unique(np.minimum(a, b) * n + np.maximum(a, b)))
-                if len(found) > 64:
-                    found[:] = [np.unique(np.concatenate(found))]
-
-        length = ends - starts
-        last = np.repeat(ends, length)
-        now = np.flatnonzero(np.repeat((length > 1) & (length <= NODE), length))
+        last = np.repeat(starts + length, length)
+        now = np.flatnonzero(np.repeat((length > 1) & (length <= node), length))
         step = 1
         while len(now):
             now = now[now + step < last[now]]
             # Sizes rise within a block: once the partner is too long, so are all after it.
-            now = now[size[doc[now]] >= need.ratio * size[doc[np.minimum(now + step, len(doc) - 1)]]] if len(now) else now
-            if len(now):
-                keep(now, now + step)
+            now = now[size[doc[now]] >= need.ratio * size[doc[now + step]]]
+            a, b = doc[now], doc[now + step]
+            ok = np.minimum(size[a] - place[now], size[b] - place[now + step]) >= need.overlap(size[a], size[b])
+            if ok.any():
+                found.append(np.unique(np.minimum(a, b)[ok] * n + np.maximum(a, b)[ok]))
             step += 1
-        for k in np.flatnonzero(length > NODE):
-            block = np.arange(starts[k], ends[k])
-            for i, j in PointTree(point[doc[block]], size[doc[block]], need).pairs():
-                keep(block[i], block[j])
-        code = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        out = [np.zeros(0, np.int64)]
-        for s in range(0, len(code), 8192):
-            a, b = code[s : s + 8192] // n, code[s : s + 8192] % n
-            shared = np.minimum(point[a], point[b]).sum(axis=1, dtype=np.int64) + np.minimum(slack[a], slack[b])
-            out.append(code[s : s + 8192][shared >= need.overlap(size[a], size[b])])
-        code = np.concatenate(out)
-        a, b = sig[code // n], sig[code % n]
-        return pa.table({"sig_a": pa.array(np.minimum(a, b)), "sig_b": pa.array(np.maximum(a, b))})
+        code = np.unique(np.concatenate(found)) if found else none
+        large = np.repeat(length > node, length)
+        return result(*_ordered(sig[code // n], sig[code % n]), sig[doc[large]], token[large].astype(np.int64), place[large])
+
+    return run
+
+
+def _ordered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _tree_pairs(similarity: float):
+    """Pairs of the large blocks and cells of one group, each through its own tree.
+
+    A cell of two parts of a block finds pairs between them only; those within a part are found where it meets itself.
+    """
+    need = _Need(similarity)
+
+    def run(table: pa.Table) -> pa.Table:
+        cols = {c: table.column(c).to_numpy() for c in ("block", "i", "j", "own", "sig", "size", "place")}
+        points = _unpack_points(table.column("point").combine_chunks())
+        order = np.lexsort((cols["j"], cols["i"], cols["block"]))
+        block, i, j, own, sig, size, place = (cols[c][order] for c in ("block", "i", "j", "own", "sig", "size", "place"))
+        points = points[order]
+        starts = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        out_a, out_b = [], []
+        for low, high in zip(starts, [*starts[1:], len(block)]):
+            s = slice(low, high)
+            found = [np.zeros(0, np.int64)]
+            for a, b in PointTree(points[s], size[s], need).pairs():
+                a, b = a + low, b + low
+                ok = np.minimum(size[a], size[b]) >= need.ratio * np.maximum(size[a], size[b])
+                ok &= np.minimum(size[a] - place[a], size[b] - place[b]) >= need.overlap(size[a], size[b])
+                if i[low] != j[low]:
+                    ok &= own[a] != own[b]
+                found.append(a[ok] * len(sig) + b[ok])
+            code = np.concatenate(found)
+            a, b = _ordered(sig[code // len(sig)], sig[code % len(sig)])
+            out_a.append(a)
+            out_b.append(b)
+        return pa.table({"sig_a": pa.array(np.concatenate(out_a)), "sig_b": pa.array(np.concatenate(out_b))})
+
+    return run
+
+
+def _bounded(similarity: float):
+    """Pairs whose points allow the similarity."""
+    need = _Need(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                b = batch.slice(at, 8192)
+                get = lambda c: b.column(b.schema.get_field_index(c))
+                x, y = _unpack_points(get("point_a")), _unpack_points(get("point_b"))
+                m, n = get("size_a").to_numpy(), get("size_b").to_numpy()
+                shared = np.minimum(x, y).sum(axis=1, dtype=np.int64) + np.minimum(m - x.sum(axis=1, dtype=np.int64), n - y.sum(axis=1, dtype=np.int64))
+                ok = pa.array(shared >= need.overlap(m, n))
+                yield pa.RecordBatch.from_arrays([get("class_a").filter(ok), get("class_b").filter(ok)], names=["class_a", "class_b"])
 
     return run
 
@@ -374,7 +485,7 @@ def _verified(size: int, similarity: float):
 
 
 def class_pairs(
-    items: DataFrame, id_column: str = "id", text_column: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, least_words: int = LEAST_WORDS, parts: int | None = None
+    items: DataFrame, id_column: str = "id", text_column: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, least_words: int = LEAST_WORDS, parts: int | None = None, hot: int = HOT, cell: int = CELL, node: int = NODE
 ) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): texts of equal shingles are one class, named by its smallest id.
 
@@ -382,41 +493,100 @@ def class_pairs(
     """
     spark = items.sparkSession
     texts = items.select(F.col(f"`{id_column}`").cast("string").alias("id"), F.col(f"`{text_column}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    first = materialize(texts.mapInArrow(_first_pass(shingle, least_words), "sig bigint, id string, part int, counts binary"), "shingles")
-    classes = first.where("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("class_id"))
-    members = first.where("sig IS NOT NULL").select("sig", "id").distinct().join(classes, "sig").select("class_id", "id")
-    ranks = first.where("part IS NOT NULL").select("part", "counts").repartition(min(8, SKETCH_PARTS), "part").mapInArrow(_sum_sketch, "part int, ranks binary, total bigint").collect()  # 2 MB whatever the data
-    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(sum(r["total"] for r in ranks) / PART_SHINGLES))
+    first = materialize(texts.mapInArrow(_first_pass(shingle, least_words), _FIRST), "shingles")
+    named = first.where("sig IS NOT NULL")
+    classes = materialize(named.groupBy("sig").agg(F.min(F.struct("id", "size", "point")).alias("x")).select("sig", F.col("x.id").alias("class_id"), "x.size", "x.point"), "classes")
+    members = named.select("sig", "id").distinct().join(classes.select("sig", "class_id"), "sig").select("class_id", "id")
+    partial = first.where("part IS NOT NULL").select("part", "counts").mapInArrow(_combine_sketches, "part int, counts binary")
+    ranks = partial.repartition(SKETCH_PARTS // 8, "part").mapInArrow(_sum_sketch, "part int, ranks binary, total bigint").collect()  # 8 MB at most, whatever the data
+    total = sum(r["total"] for r in ranks)
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PART_SHINGLES))
     width = (1 << SKETCH_BITS) // SKETCH_PARTS
-    by_part = {r["part"]: bytes(r["ranks"]) for r in ranks}
-    ranks_of = spark.sparkContext.broadcast(b"".join(by_part.get(p, bytes(width)) for p in range(SKETCH_PARTS)))
-    blocks = texts.mapInArrow(_second_pass(ranks_of, parts, shingle, least_words, similarity), _BLOCKS)
-    found = blocks.groupBy("part").applyInArrow(_block_pairs(similarity), "sig_a bigint, sig_b bigint").distinct()
-    a, b = classes.toDF("sig_a", "class_a"), classes.toDF("sig_b", "class_b")
-    named = found.join(a, "sig_a").join(b, "sig_b").select(F.least("class_a", "class_b").alias("id_a"), F.greatest("class_a", "class_b").alias("id_b"))
-    return _verify(texts, materialize(named, "likely"), shingle, similarity), members
+    by_part = {r["part"]: _unpack(bytes(r["ranks"]), width, np.uint8).tobytes() for r in ranks}
+    ranks_of = spark.sparkContext.broadcast(b"".join(by_part.get(p, bytes(width)) for p in range(SKETCH_PARTS)))  # 8 MB
+    # What other shingles add to a counter does not make a shingle hot.
+    blocks = texts.mapInArrow(_second_pass(ranks_of, parts, shingle, least_words, similarity, _rank(hot + 4 * total / (1 << SKETCH_BITS))), _BLOCKS)
+    entries = materialize(blocks.groupBy("part").applyInArrow(_block_pairs(similarity, parts, node), _ENTRIES), "entries")
+    found = entries.where("block IS NULL").select("sig_a", "sig_b").unionByName(_large_blocks(entries, classes, similarity, cell)).distinct()
+    side = lambda x: classes.toDF(f"sig_{x}", f"class_{x}", f"size_{x}", f"point_{x}")
+    bounded = found.join(side("a"), "sig_a").join(side("b"), "sig_b").mapInArrow(_bounded(similarity), "class_a string, class_b string")
+    likely = bounded.select(F.least("class_a", "class_b").alias("id_a"), F.greatest("class_a", "class_b").alias("id_b"))
+    return _verify(texts, materialize(likely, "likely"), shingle, similarity), members
+
+
+def _large_blocks(entries: DataFrame, classes: DataFrame, similarity: float, cell: int) -> DataFrame:
+    """Pairs of the blocks that are too large to compare at once; a block of n texts is cut into n / cell parts."""
+    large = entries.where("block IS NOT NULL").groupBy("block", "sig_a").agg(F.min("place").alias("place"))
+    sizes = large.groupBy("block").agg(F.ceil(F.count("*") / cell).cast("int").alias("n"))
+    own = F.pmod(F.xxhash64("sig_a"), F.col("n")).cast("int")
+    placed = large.join(sizes, "block").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    placed = placed.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("sig_a").alias("sig"), "place")
+    some = placed.join(classes.select("sig", "size", "point"), "sig")
+    # Many blocks are small, so that a group takes several; a cell is never cut by it.
+    group = F.when(F.col("i") == F.col("j"), F.pmod(F.xxhash64("block", "i"), F.lit(4096))).otherwise(F.xxhash64("block", "i", "j"))
+    return some.groupBy(group.alias("group")).applyInArrow(_tree_pairs(similarity), "sig_a bigint, sig_b bigint")
+
+
+def _bitmap(bits: int):
+    """Rows (piece, bitmap) of the buckets of one partition; a piece is 2^17 buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, np.ndarray] = {}
+        for b in batches:
+            x = b.column(0).to_numpy()
+            for p in np.unique(x >> 17):
+                pieces.setdefault(int(p), np.zeros(1 << min(bits, 17), bool))[x[x >> 17 == p] & ((1 << 17) - 1)] = True
+        if pieces:
+            yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array([np.packbits(x).tobytes() for x in pieces.values()], pa.binary())], names=["piece", "bits"])
+
+    return run
+
+
+def _in_bitmap(bitmap_of):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(bitmap_of.value, np.uint8)
+        for b in batches:
+            x = b.column(2).to_numpy()
+            yield b.filter(pa.array((bitmap[x >> 3] >> (7 - (x & 7)).astype(np.uint8) & 1).astype(bool))).select(["id", "text"])
+
+    return run
 
 
 def _verify(texts: DataFrame, likely: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    # Only texts of some pair go on: a filter of 2^20 buckets of ids, so of bounded size.
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    """Only texts of some pair go on: a bitmap of their ids' buckets, eight for each id up to 2^FILTER_BITS."""
+    spark = texts.sparkSession
+    bits = min(FILTER_BITS, max(17, math.ceil(math.log2(16 * likely.count() + 1))))
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
     wanted = likely.select(bucket("id_a").alias("bucket")).union(likely.select(bucket("id_b"))).distinct()
-    some = texts.join(F.broadcast(wanted), bucket("id") == F.col("bucket"), "left_semi").dropDuplicates(["id"])
+    pieces = wanted.repartition(F.shiftright("bucket", 17)).mapInArrow(_bitmap(bits), "piece int, bits binary").collect()  # 8 MB at most
+    bitmap = np.zeros(max(1, 1 << (bits - 17)) * (1 << 14), np.uint8)
+    for r in pieces:
+        bitmap[r["piece"] << 14 : (r["piece"] + 1) << 14] |= np.frombuffer(r["bits"], np.uint8)
+    bitmap_of = spark.sparkContext.broadcast(bitmap.tobytes())
+    some = texts.select("id", "text", bucket("id").alias("bucket")).mapInArrow(_in_bitmap(bitmap_of), "id string, text string").dropDuplicates(["id"])
     left, right = some.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), some.select(F.col("id").alias("id_b"), F.col("text").alias("text_b"))
     return likely.join(left, "id_a").join(right, "id_b").mapInPandas(_verified(shingle, similarity), "id_a string, id_b string, similarity double")
 
 
 def similar_pairs(
-    items: DataFrame, id_column: str = "id", text_column: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, least_words: int = LEAST_WORDS, parts: int | None = None
+    items: DataFrame, id_column: str = "id", text_column: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, least_words: int = LEAST_WORDS, parts: int | None = None, **limits
 ) -> DataFrame:
-    """id_a < id_b and similarity of all pairs of items with at least that Jaccard similarity, copies written out."""
-    pairs, members = class_pairs(items, id_column, text_column, similarity, shingle, least_words, parts)
+    """id_a < id_b and similarity of all pairs of items with at least that Jaccard similarity, copies written out.
+
+    Members of large classes are paired part by part, so no key gathers a class.
+    """
+    pairs, members = class_pairs(items, id_column, text_column, similarity, shingle, least_words, parts, **limits)
     members = materialize(members, "members")
-    a, b = members.toDF("class_a", "x"), members.toDF("class_b", "y")
-    between = pairs.toDF("class_a", "class_b", "similarity").join(a, "class_a").join(b, "class_b").select("x", "y", "similarity")
-    repeated = members.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
-    twins = members.join(repeated, "class_id", "left_semi")
-    within = twins.toDF("class_id", "x").join(twins.toDF("class_id", "y"), "class_id").where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    counts = members.groupBy("class_id").agg(F.count("*").alias("n"), F.ceil(F.count("*") / CLASS_PART).cast("int").alias("parts"))
+    placed = members.join(counts, "class_id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    cut = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    side = lambda x, y: placed.select(F.col("class_id").alias(f"class_{x}"), F.col("own").alias(f"own_{x}"), F.col("id").alias(y))
+    parted = lambda x: counts.select(F.col("class_id").alias(f"class_{x}"), F.col("parts").alias(f"parts_{x}"))
+    between = pairs.toDF("class_a", "class_b", "similarity").join(parted("a"), "class_a").join(parted("b"), "class_b")
+    between = between.withColumn("own_a", cut("parts_a")).withColumn("own_b", cut("parts_b")).join(side("a", "x"), ["class_a", "own_a"]).join(side("b", "y"), ["class_b", "own_b"]).select("x", "y", "similarity")
+    twins = placed.where("n > 1").withColumn("other", cut("parts"))
+    low, high = twins.where("own <= other").select("class_id", F.col("own").alias("i"), F.col("other").alias("j"), F.col("id").alias("x")), twins.where("own >= other").select("class_id", F.col("other").alias("i"), F.col("own").alias("j"), F.col("id").alias("y"))
+    within = low.join(high, ["class_id", "i", "j"]).where("i < j OR x < y").select("x", "y", F.lit(1.0).alias("similarity"))
     return between.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
 
 

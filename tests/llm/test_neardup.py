@@ -39,12 +39,13 @@ def brute(rows, least=20, similarity=0.6, size=3):
     return out
 
 
-@pytest.mark.parametrize("seed,parts,node", [(1, 1, 256), (2, 7, 256), (3, 3, 2)])
-def test_pairs_equal_brute_force(spark, monkeypatch, seed, parts, node):
+@pytest.mark.parametrize("seed,parts,limits", [(1, 1, {}), (2, 7, {"node": 1}), (3, 3, {"node": 2, "cell": 2}), (1, 3, {"hot": 1, "cell": 3})])
+def test_pairs_equal_brute_force(spark, seed, parts, limits):
+    """Small blocks, large ones through trees, in cells, and all shingles taken for hot ones."""
     rows = corpus(seed)
     rows += [rows[0], (rows[1][0] + "copy", rows[1][1].upper()), ("n", None), ("short", "too few words here"), ("empty", "")]
     df = spark.createDataFrame(rows, "id string, text string").selectExpr("*", "1 AS sig", "2 AS part", "3 AS similarity").repartition(3)
-    got = {(r["id_a"], r["id_b"]): r["similarity"] for r in neardup.similar_pairs(df, parts=parts).collect()}
+    got = {(r["id_a"], r["id_b"]): r["similarity"] for r in neardup.similar_pairs(df, parts=parts, **limits).collect()}
     want = brute(dict(rows).items())
     assert set(got) == set(want) and len(want) > 50
     assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
@@ -62,6 +63,22 @@ def test_a_third_of_all_rows_in_one_family(spark):
     assert got == set(brute(rows)) and len([p for p in got if p[0][0] == p[1][0] == "f"]) == 190
 
 
+def test_parts_of_a_class_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CLASS_PART", 4)
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(f"a{i:02d}", text) for i in range(23)] + [(f"b{i}", text + " more") for i in range(9)]
+    got = [(r["id_a"], r["id_b"]) for r in neardup.similar_pairs(spark.createDataFrame(rows, "id string, text string")).collect()]
+    assert len(got) == len(set(got)) == 32 * 31 // 2 and all(a < b for a, b in got)
+
+
+def test_points_are_packed_without_loss():
+    import pyarrow as pa
+
+    x = np.random.default_rng(2).integers(0, 16, (50, neardup.GROUPS)).astype(np.uint8)
+    x[::7, 3] = 200
+    assert np.array_equal(neardup._unpack_points(pa.array(neardup._pack_points(x), pa.binary())), x)
+
+
 def test_tree_finds_every_pair_that_the_bound_allows():
     rng = np.random.default_rng(1)
     base = rng.integers(1, 4, (40, neardup.GROUPS)) * (rng.random((40, neardup.GROUPS)) < 0.3)
