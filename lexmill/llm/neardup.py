@@ -4,18 +4,18 @@ Shingles are hashed into groups; the counts per group are a text's point, and
 the sum over the groups of the smaller count bounds how many shingles two texts
 can share.  Texts that could be similar meet in blocks:
 
-1. one pass writes each text's size and point and sums a sketch of fixed size
-   of how often shingles occur;
+1. one pass names each text by its shingles and sums a sketch of fixed size of
+   how often shingles occur;
 2. a second pass sorts each text's shingles from rare to frequent by that
    sketch (any common order is exact, this one keeps blocks small) and sends
    the leading ones, enough that two similar texts must share one, to the block
-   of the shingle; those that occur in one text only are left out;
-3. in small blocks pairs pass by size and by position of the shared shingle;
-   large blocks get the points of their texts and go through an R-tree over
-   them, blocks of more than ``CELL`` texts in cells of pairs of their parts, so
-   that no task holds more than two parts;
-4. the bound of summed minima decides on every pair, and what it leaves is
-   verified on the texts.
+   of the shingle, with the text's size and point; those that occur in one text
+   only are left out;
+3. in small blocks pairs pass by size, by position of the shared shingle and by
+   the bound of summed minima; large blocks go through an R-tree over their
+   points, blocks of more than ``CELL`` texts in cells of pairs of their parts,
+   so that no task holds more than two parts;
+4. surviving pairs are verified on the texts.
 
 Texts with equal shingles are one class (copies of a text reach a block at most
 once a task).  Texts of fewer than ``least_words`` words, null texts and null
@@ -62,6 +62,8 @@ PART_SHINGLES = 4_000_000
 WORD_CACHE = 500_000
 #: Most buckets (as a power of 2) of the filter in front of the verification: 8 MB of bits.
 FILTER_BITS = 26
+#: Entries of large blocks that are gathered in one group on average, so that a group is not one small block.
+TREE_ENTRIES = 20_000
 #: Members of a class that are paired with each other in one task.
 CLASS_PART = 2000
 
@@ -169,11 +171,11 @@ def _unpack_points(column) -> np.ndarray:
     return out
 
 
-_FIRST = "sig bigint, id string, size bigint, point binary, part int, counts binary"
+_FIRST = "sig bigint, id string, part int, counts binary"
 
 
 def _first_pass(size: int, least: int):
-    """Rows (sig, id, size, point) of the texts and rows (part, counts) of the sketch."""
+    """Rows (sig, id) of the texts and rows (part, counts) of the sketch."""
 
     def run(batches):
         hashes, sketch = _WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -183,18 +185,15 @@ def _first_pass(size: int, least: int):
                 at, times = np.unique((b.hash >> np.uint64(HASH_BITS - SKETCH_BITS)).astype(np.int64), return_counts=True)
                 sketch[at] += times.astype(np.uint32)
                 own = pa.array([ids[k] for k in b.rows], pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(b.sig), own, pa.array(b.size), pa.array(_pack_points(_points(b)), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                    names=["sig", "id", "size", "point", "part", "counts"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(b.sig), own, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["sig", "id", "part", "counts"])
         if sketch.any():
-            yield _sketch_rows({k: x for k, x in enumerate(np.split(sketch, SKETCH_PARTS)) if x.any()}, ["sig", "id", "size", "point"])
+            yield _sketch_rows({k: x for k, x in enumerate(np.split(sketch, SKETCH_PARTS)) if x.any()}, ["sig", "id"])
 
     return run
 
 
 def _sketch_rows(parts: dict[int, np.ndarray], nulls: list[str] = []) -> pa.RecordBatch:  # noqa: B006 - read only
-    kinds = {"sig": pa.int64(), "id": pa.string(), "size": pa.int64(), "point": pa.binary()}
+    kinds = {"sig": pa.int64(), "id": pa.string()}
     packed = pa.array([_pack(x.astype(np.uint32)) for x in parts.values()], pa.binary())
     return pa.RecordBatch.from_arrays([*(pa.nulls(len(parts), kinds[c]) for c in nulls), pa.array(list(parts), pa.int32()), packed], names=[*nulls, "part", "counts"])
 
@@ -247,7 +246,7 @@ def _second_pass(ranks_of, parts: int, size: int, least: int, similarity: float,
                     sent.add(s)
             if len(sent) > 2_000_000:  # forgetting only repeats work
                 sent.clear()
-            place = np.arange(len(b.doc)) - b.starts[b.doc]
+            points, place = _points(b), np.arange(len(b.doc)) - b.starts[b.doc]
             # Rank 0 is a counter of 1: no other text has the shingle.
             lead = (place <= b.size[b.doc] - np.ceil(similarity * b.size[b.doc] - 1e-9)) & new[b.doc] & (b.rank > 0)
             doc, token, place, rank = b.doc[lead], b.hash[lead], place[lead], b.rank[lead]
@@ -259,14 +258,16 @@ def _second_pass(ranks_of, parts: int, size: int, least: int, similarity: float,
             for low, high in zip(cuts, [*cuts[1:], len(part)]):
                 s = slice(low, high)
                 own, local = np.unique(doc[s], return_inverse=True)
-                rows.append((int(part[low]), len(token[s]), len(own), *map(_pack, (token[s], local.astype(np.uint16), place[s].astype(np.uint32), b.sig[own], b.size[own].astype(np.uint32)))))
+                rows.append((int(part[low]), len(token[s]), len(own), *map(_pack, (token[s], local.astype(np.uint16), place[s].astype(np.uint32), b.sig[own], b.size[own].astype(np.uint32), points[own]))))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5])], names=["part", "n_tokens", "n_docs", "token", "local", "place", "sig", "size"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6])], names=["part", "n_tokens", "n_docs", "token", "local", "place", "sig", "size", "points"]
+                )
 
     return run
 
 
-_BLOCKS = "part int, n_tokens bigint, n_docs bigint, token binary, local binary, place binary, sig binary, size binary"
+_BLOCKS = "part int, n_tokens bigint, n_docs bigint, token binary, local binary, place binary, sig binary, size binary, points binary"
 
 
 class PointTree:
@@ -345,23 +346,22 @@ class _Need:
         return np.ceil(self.share * (a + b) - 1e-9)
 
 
-_ENTRIES = "sig_a bigint, sig_b bigint, block bigint, place bigint"
+_ENTRIES = "sig_a bigint, sig_b bigint, block bigint, size bigint, place bigint, point binary"
 
 
 def _block_pairs(similarity: float, parts: int, node: int):
-    """(sig_a, sig_b) of the pairs in small blocks; (sig_a, block, place) of each entry of larger ones."""
+    """(sig_a, sig_b) of the pairs in small blocks; the entries (sig_a, block, size, place, point) of larger ones."""
     need = _Need(similarity)
 
-    def result(a, b, entry_sig, block, place) -> pa.Table:
-        n, m = len(a), len(entry_sig)
-        whole = lambda x, y: pa.concat_arrays([x, y]).cast(pa.int64())
-        return pa.table({
-            "sig_a": whole(pa.array(a, pa.int64()), pa.array(entry_sig, pa.int64())), "sig_b": whole(pa.array(b, pa.int64()), pa.nulls(m, pa.int64())),
-            "block": whole(pa.nulls(n, pa.int64()), pa.array(block, pa.int64())), "place": whole(pa.nulls(n, pa.int64()), pa.array(place, pa.int64())),
-        })
+    def result(a, b, sig, block, size, place, points) -> pa.Table:
+        n, m = len(a), len(sig)
+        both = lambda x, y: pa.concat_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())])
+        none, nothing = pa.nulls(n, pa.int64()), pa.nulls(m, pa.int64())
+        packed = pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(_pack_points(points), pa.binary())])
+        return pa.table({"sig_a": both(a, sig), "sig_b": both(b, nothing), "block": both(none, block), "size": both(none, size), "place": both(none, place), "point": packed})
 
     def run(table: pa.Table) -> pa.Table:
-        tokens, docs, places, sigs, sizes, base = [], [], [], [], [], 0
+        tokens, docs, places, sigs, sizes, points, base = [], [], [], [], [], [], 0
         for r in table.to_pylist():
             n, m = r["n_tokens"], r["n_docs"]
             tokens.append(_unpack(r["token"], n, np.uint64))
@@ -369,14 +369,14 @@ def _block_pairs(similarity: float, parts: int, node: int):
             places.append(_unpack(r["place"], n, np.uint32))
             sigs.append(_unpack(r["sig"], m, np.int64))
             sizes.append(_unpack(r["size"], m, np.uint32))
+            points.append(_unpack(r["points"], m * GROUPS, np.uint8).reshape(-1, GROUPS))
             base += m
-        part, none = table.column("part")[0].as_py(), np.zeros(0, np.int64)
-        if part >= parts:
-            sig = np.concatenate(sigs)
-            return result(none, none, sig[np.concatenate(docs)], np.concatenate(tokens).astype(np.int64), np.concatenate(places).astype(np.int64))
+        none = np.zeros(0, np.int64)
         sig, first, same = np.unique(np.concatenate(sigs), return_index=True, return_inverse=True)
-        size = np.concatenate(sizes)[first].astype(np.int64)
+        size, point = np.concatenate(sizes)[first].astype(np.int64), np.concatenate(points)[first]
         doc, token, place = same[np.concatenate(docs)], np.concatenate(tokens), np.concatenate(places).astype(np.int64)
+        if table.column("part")[0].as_py() >= parts:
+            return result(none, none, sig[doc], token.astype(np.int64), size[doc], place, point[doc])
         order = np.lexsort((doc, size[doc], token))
         doc, token, place = doc[order], token[order], place[order]
         kept = np.concatenate([[True], (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])])
@@ -398,8 +398,14 @@ def _block_pairs(similarity: float, parts: int, node: int):
                 found.append(np.unique(np.minimum(a, b)[ok] * n + np.maximum(a, b)[ok]))
             step += 1
         code = np.unique(np.concatenate(found)) if found else none
-        large = np.repeat(length > node, length)
-        return result(*_ordered(sig[code // n], sig[code % n]), sig[doc[large]], token[large].astype(np.int64), place[large])
+        slack, fits = size - point.sum(axis=1, dtype=np.int64), [np.zeros(0, bool)]
+        for s in range(0, len(code), 8192):
+            a, b = code[s : s + 8192] // n, code[s : s + 8192] % n
+            shared = np.minimum(point[a], point[b]).sum(axis=1, dtype=np.int64) + np.minimum(slack[a], slack[b])
+            fits.append(shared >= need.overlap(size[a], size[b]))
+        code = code[np.concatenate(fits)]
+        large = np.flatnonzero(np.repeat(length > node, length))
+        return result(*_ordered(sig[code // n], sig[code % n]), sig[doc[large]], token[large].astype(np.int64), size[doc[large]], place[large], point[doc[large]])
 
     return run
 
@@ -442,24 +448,6 @@ def _tree_pairs(similarity: float):
     return run
 
 
-def _bounded(similarity: float):
-    """Pairs whose points allow the similarity."""
-    need = _Need(similarity)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 8192):
-                b = batch.slice(at, 8192)
-                get = lambda c: b.column(b.schema.get_field_index(c))
-                x, y = _unpack_points(get("point_a")), _unpack_points(get("point_b"))
-                m, n = get("size_a").to_numpy(), get("size_b").to_numpy()
-                shared = np.minimum(x, y).sum(axis=1, dtype=np.int64) + np.minimum(m - x.sum(axis=1, dtype=np.int64), n - y.sum(axis=1, dtype=np.int64))
-                ok = pa.array(shared >= need.overlap(m, n))
-                yield pa.RecordBatch.from_arrays([get("class_a").filter(ok), get("class_b").filter(ok)], names=["class_a", "class_b"])
-
-    return run
-
-
 def shingle_set(text: str, size: int = SHINGLE) -> frozenset:
     w = _WORDS(text.lower())
     return frozenset(zip(*(w[k:] for k in range(size))))
@@ -495,8 +483,8 @@ def class_pairs(
     texts = items.select(F.col(f"`{id_column}`").cast("string").alias("id"), F.col(f"`{text_column}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     first = materialize(texts.mapInArrow(_first_pass(shingle, least_words), _FIRST), "shingles")
     named = first.where("sig IS NOT NULL")
-    classes = materialize(named.groupBy("sig").agg(F.min(F.struct("id", "size", "point")).alias("x")).select("sig", F.col("x.id").alias("class_id"), "x.size", "x.point"), "classes")
-    members = named.select("sig", "id").distinct().join(classes.select("sig", "class_id"), "sig").select("class_id", "id")
+    classes = named.groupBy("sig").agg(F.min("id").alias("class_id"))
+    members = named.select("sig", "id").distinct().join(classes, "sig").select("class_id", "id")
     partial = first.where("part IS NOT NULL").select("part", "counts").mapInArrow(_combine_sketches, "part int, counts binary")
     ranks = partial.repartition(SKETCH_PARTS // 8, "part").mapInArrow(_sum_sketch, "part int, ranks binary, total bigint").collect()  # 8 MB at most, whatever the data
     total = sum(r["total"] for r in ranks)
@@ -507,23 +495,25 @@ def class_pairs(
     # What other shingles add to a counter does not make a shingle hot.
     blocks = texts.mapInArrow(_second_pass(ranks_of, parts, shingle, least_words, similarity, _rank(hot + 4 * total / (1 << SKETCH_BITS))), _BLOCKS)
     entries = materialize(blocks.groupBy("part").applyInArrow(_block_pairs(similarity, parts, node), _ENTRIES), "entries")
-    found = entries.where("block IS NULL").select("sig_a", "sig_b").unionByName(_large_blocks(entries, classes, similarity, cell)).distinct()
-    side = lambda x: classes.toDF(f"sig_{x}", f"class_{x}", f"size_{x}", f"point_{x}")
-    bounded = found.join(side("a"), "sig_a").join(side("b"), "sig_b").mapInArrow(_bounded(similarity), "class_a string, class_b string")
-    likely = bounded.select(F.least("class_a", "class_b").alias("id_a"), F.greatest("class_a", "class_b").alias("id_b"))
+    found = entries.where("block IS NULL").select("sig_a", "sig_b").unionByName(_large_blocks(entries, similarity, cell)).distinct()
+    likely = found.join(classes.toDF("sig_a", "class_a"), "sig_a").join(classes.toDF("sig_b", "class_b"), "sig_b").select(F.least("class_a", "class_b").alias("id_a"), F.greatest("class_a", "class_b").alias("id_b"))
     return _verify(texts, materialize(likely, "likely"), shingle, similarity), members
 
 
-def _large_blocks(entries: DataFrame, classes: DataFrame, similarity: float, cell: int) -> DataFrame:
+def _large_blocks(entries: DataFrame, similarity: float, cell: int) -> DataFrame:
     """Pairs of the blocks that are too large to compare at once; a block of n texts is cut into n / cell parts."""
-    large = entries.where("block IS NOT NULL").groupBy("block", "sig_a").agg(F.min("place").alias("place"))
+    # A text comes once to a block from each task that met it.
+    large = entries.where("block IS NOT NULL")
+    groups = math.ceil(large.count() / TREE_ENTRIES)
+    if not groups:
+        return large.select("sig_a", "sig_b")
+    large = large.dropDuplicates(["block", "sig_a"])
     sizes = large.groupBy("block").agg(F.ceil(F.count("*") / cell).cast("int").alias("n"))
     own = F.pmod(F.xxhash64("sig_a"), F.col("n")).cast("int")
     placed = large.join(sizes, "block").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    placed = placed.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("sig_a").alias("sig"), "place")
-    some = placed.join(classes.select("sig", "size", "point"), "sig")
+    some = placed.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("sig_a").alias("sig"), "size", "place", "point")
     # Many blocks are small, so that a group takes several; a cell is never cut by it.
-    group = F.when(F.col("i") == F.col("j"), F.pmod(F.xxhash64("block", "i"), F.lit(4096))).otherwise(F.xxhash64("block", "i", "j"))
+    group = F.when(F.col("i") == F.col("j"), F.pmod(F.xxhash64("block", "i"), F.lit(groups))).otherwise(F.xxhash64("block", "i", "j"))
     return some.groupBy(group.alias("group")).applyInArrow(_tree_pairs(similarity), "sig_a bigint, sig_b bigint")
 
 
