@@ -25,18 +25,29 @@ def load_settings(path: str) -> Settings:
 
 
 def write_texts(df: DataFrame, folder: str, name: str, text: str) -> int:
-    """Each row as a file; tasks write on their own, blank texts are left out."""
+    """Each row as a file of a folder that all executors reach; tasks write on their own, blank texts are left out.
 
-    def run(rows):
-        for r in rows:
-            target = Path(folder) / r[name]
-            target.parent.mkdir(parents=True, exist_ok=True)
-            target.write_text(r[text], encoding="utf-8")
+    The folder's file system is that of its scheme, or the session's default; a task that runs again writes the same files.
+    """
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+    def run(frames):
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(uri)
+        for f in frames:
+            for own, content in zip(f[name], f[text]):
+                target = f"{root}/{own}"
+                system.create_dir(target.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(target) as out:
+                    out.write(content.encode())
+            yield f[[name]].agg(["count"]).rename(columns={name: "n"})
 
     kept = df.select(name, text).where(F.length(F.trim(text)) > 0)
-    n = kept.count()
-    kept.foreachPartition(run)
-    return n
+    return kept.mapInPandas(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
 
 
 def main(argv: list[str] | None = None) -> int:

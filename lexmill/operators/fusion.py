@@ -49,11 +49,14 @@ def resolve_parents(results: DataFrame, parents: DataFrame, enabled: bool = True
     """Hits with a stored parent become that parent, once, with the data of their first hit.
 
     Parents come first, those with more hits before others, then in order of
-    their first hit; hits without a parent follow in their own order.
+    their first hit; hits without a parent follow in their own order.  Of a
+    parent stored in several versions the greatest text counts.  Only parents
+    of hits are gathered, not the whole table.
     """
     if not enabled:
         return results.select("query_id", "rank", "text", "category", "source", "source_path", "module", F.lit(None).cast("string").alias("parent_id"), F.lit(1).cast("bigint").alias("hits"))
-    store = parents.groupBy("parent_id").agg(F.max("text").alias("parent_text"))
+    asked = results.select("parent_id").where("parent_id IS NOT NULL").distinct()
+    store = parents.join(asked, "parent_id", "left_semi").groupBy("parent_id").agg(F.max("text").alias("parent_text"))
     joined = results.join(store, "parent_id", "left").withColumn("is_parent", F.col("parent_text").isNotNull())
     fields = ["category", "source", "source_path", "module"]
     key = F.when(F.col("is_parent"), F.col("parent_id")).otherwise(F.concat(F.lit("#"), F.col("id")))
@@ -66,7 +69,7 @@ def resolve_parents(results: DataFrame, parents: DataFrame, enabled: bool = True
     return merged.withColumn("rank", F.row_number().over(w)).select("query_id", "rank", "x.*", "hits")
 
 
-def render_results(results: DataFrame, queries: DataFrame, most_text: int = 2000) -> DataFrame:
+def render_results(results: DataFrame, queries: DataFrame, most_text: int = 2000, category: str | None = None) -> DataFrame:
     """query_id, rendered: the results of each query as one text."""
     text = F.when(F.length("text") > most_text, F.concat(F.left("text", F.lit(most_text)), F.lit("\n... [truncated]"))).otherwise(F.col("text"))
     label: Column = F.when(F.col("module") != "", F.concat(F.lit(" ("), "module", F.lit(")"))).otherwise(F.lit(""))
@@ -74,7 +77,7 @@ def render_results(results: DataFrame, queries: DataFrame, most_text: int = 2000
     # At most MOST_RESULTS rows a query.
     body = results.groupBy("query_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("rank", entry.alias("entry")))).alias("entries"))
     nothing = F.concat(
-        F.lit('No results found for: "'),
+        F.lit(f"No results found in category '{category}' for: \"" if category else 'No results found for: "'),
         "query",
         F.lit('"\n\nSuggestions:\n  - Rephrase the query or try different keywords\n  - Remove the category filter to search all documentation\n  - Make sure the index is built (see the category list)'),
     )

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexmill.functions.arrays import let
 from lexmill.functions.text import tokens
 from lexmill.session import materialize
 
@@ -26,19 +27,18 @@ DIGITS = 6
 
 @dataclass
 class KeywordIndex:
-    postings: DataFrame  # term, id, category, tf
+    postings: DataFrame  # term, id, category, tf, dl
     doc_stats: DataFrame  # id, category, dl
     term_stats: DataFrame  # term, df, idf
     corpus_stats: DataFrame  # n_docs, avgdl, avg_idf: one row
 
 
-def token_table(chunks: DataFrame, id_column: str = "id", text: str = "text") -> DataFrame:
-    return chunks.select(F.col(id_column).alias("id"), "category", F.explode(tokens(text)).alias("term"))
-
-
 def postings(chunks: DataFrame, id_column: str = "id", text: str = "text") -> DataFrame:
-    """term, id, category, tf: exploded tokens counted, with partial sums before the shuffle."""
-    return token_table(chunks, id_column, text).groupBy("id", "category", "term").agg(F.count("*").cast("int").alias("tf"))
+    """term, id, category, tf, dl: exploded tokens counted, with partial sums before the shuffle; dl is the text's number of tokens."""
+    # The length goes along with each token, so that the texts are taken apart once.
+    sized = let(tokens(text), lambda t: F.transform(t, lambda x: F.struct(x.alias("term"), F.size(t).alias("dl"))))
+    found = chunks.select(F.col(id_column).alias("id"), "category", F.explode_outer(sized).alias("x")).where("x IS NOT NULL")
+    return found.groupBy("id", "category", F.col("x.term").alias("term"), F.col("x.dl").alias("dl")).agg(F.count("*").cast("int").alias("tf")).select("term", "id", "category", "tf", "dl")
 
 
 def document_lengths(chunks: DataFrame, id_column: str = "id", text: str = "text") -> DataFrame:
@@ -80,7 +80,8 @@ def bm25_scores(index: KeywordIndex, queries: DataFrame, category: str | Column
     if category is not None:
         scored = scored.where(F.col("category") == category)
     weight = query_terms(queries).join(index.term_stats.select("term", "idf"), "term")
-    hits = scored.join(weight, "term").join(index.doc_stats.select("id", "dl"), "id").crossJoin(F.broadcast(index.corpus_stats.select("avgdl")))
+    # Postings carry the lengths: what matches a query is not shuffled again to fetch them.
+    hits = scored.join(weight, "term").crossJoin(F.broadcast(index.corpus_stats.select("avgdl")))
     part = F.col("idf") * F.col("qtf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "id").agg(F.round(F.sum(part), DIGITS).alias("score")).where("score > 0")
 

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 #: Times closer than this are the same modification.
 SAME_MILLIS = 1000
+# Fixed value: the last lines of a report.
+USAGE = '\n\nUsage: search_docs(query, category="<name>") to search within a category.'
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: str, ties: list[str] | None = None) -> DataFrame:
@@ -85,4 +87,4 @@ def category_report(counts: DataFrame, categories: DataFrame, project: str = "kn
     # A row for each configured category.
     lines = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("a"), "ord", line.alias("line"))))
     head = F.concat(F.lit(project + " — "), F.first("total").cast("string"), F.lit(" total chunks\n\n"))
-    return rows.agg(F.concat(head, F.array_join(F.transform(lines, lambda x: x["line"]), "\n")).alias("report"))
+    return rows.agg(F.concat(head, F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), F.lit(USAGE)).alias("report"))

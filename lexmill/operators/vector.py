@@ -18,11 +18,6 @@ QUERY_PARTITIONS = 8
 DIMENSIONS = 64
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return np.divide(m, norm, out=np.full_like(m, np.nan), where=norm > 0)
-
-
 def cosine_topk(vectors: DataFrame, queries: DataFrame, n: int = 20, id_column: str = "id", vector: str = "embedding") -> DataFrame:
     """query_id, id, score, rank: the ``n`` vectors of highest cosine for each query.
 
@@ -47,8 +42,8 @@ def _pack_with(frames: Iterator[pd.DataFrame], key: str, value: str, names: list
         for width, g in f.groupby(f[value].map(len)):
             for s in range(0, len(g), size):
                 part = g.iloc[s : s + size]
-                m = _unit(np.array(part[value].tolist(), np.float64))
-                ok = ~np.isnan(m).any(axis=1)
+                m = np.array(part[value].tolist(), np.float64)
+                ok = np.isfinite(m).all(axis=1) & (m != 0).any(axis=1)
                 yield pd.DataFrame({names[0]: [part[key].to_numpy()[ok]], names[1]: [m[ok].tobytes()], "width": [int(width)]}).astype({"width": "int32"})
 
 
@@ -64,10 +59,11 @@ def _best(n: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for ids, rows, w, qids, qrows, width in zip(f["ids"], f["rows"], f["w"], f["block_ids"], f["block_vectors"], f["width"]):
-                a, q = np.frombuffer(rows), np.frombuffer(qrows)
-                if w != width or not len(a) or not len(q):
+                if w != width or not len(rows) or not len(qrows):
                     continue
-                score = np.round(q.reshape(-1, width) @ a.reshape(-1, width).T, DIGITS) + 0.0
+                a, q = np.frombuffer(rows).reshape(-1, width), np.frombuffer(qrows).reshape(-1, width)
+                size = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((a * a).sum(axis=1))
+                score = np.round(q @ a.T / size, DIGITS) + 0.0
                 ids = np.asarray(ids)
                 by_id = np.argsort(np.argsort(ids.astype(str) if ids.dtype == object else ids, kind="stable"), kind="stable")
                 k = min(n, len(ids))
@@ -86,11 +82,13 @@ def hash_features(posting: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame
     return posting.groupBy("id", "category", bucket.alias("bucket")).agg(F.sum(sign * F.col("tf")).alias("w")).where("w <> 0")
 
 
-def hashed_cosine(features: DataFrame, query_features: DataFrame, n: int = 20) -> DataFrame:
-    """Ranking by cosine of hashed features; only pairs with a positive cosine are ranked."""
-    norm = features.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    q = query_features.select(F.col("id").alias("query_id"), "bucket", F.col("w").alias("qw"))
-    qnorm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dot = features.join(q, "bucket").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot")).where("dot > 0")
-    scored = dot.join(norm, "id").join(qnorm, "query_id").select("query_id", "id", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), DIGITS).alias("score"))
-    return rank(scored.where("score > 0"), n)
+def dense(features: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """id, category, embedding: the features of each id as one vector; at most ``dimensions`` of them are gathered."""
+    cells = F.map_from_entries(F.collect_list(F.struct("bucket", F.col("w").cast("double").alias("w"))))
+    made = features.groupBy("id", "category").agg(cells.alias("cells"))
+    return made.select("id", "category", F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.coalesce(F.try_element_at("cells", k), F.lit(0.0))).alias("embedding"))
+
+
+def hashed_cosine(vectors: DataFrame, query_vectors: DataFrame, n: int = 20) -> DataFrame:
+    """Ranking by cosine of hashed features as dense vectors; only pairs with a positive cosine are ranked."""
+    return cosine_topk(vectors, query_vectors.select(F.col("id").alias("query_id"), "embedding"), n).where("score > 0")

@@ -39,11 +39,16 @@ def settings_key(settings: Settings, embedder: embedding.Embedder | None = None)
     return hashlib.md5(repr((settings, embedder)).encode(), usedforsecurity=False).hexdigest()
 
 
-def hashed_near(features: DataFrame, queries: DataFrame, n: int, category: str | None) -> DataFrame:
-    """Vector ranking by hashed term counts."""
+def hashed_queries(queries: DataFrame) -> DataFrame:
+    """id, category, embedding: hashed term counts of each (query_id, query)."""
     terms = lexical.query_terms(queries).select(F.col("query_id").alias("id"), F.lit("").alias("category"), "term", F.col("qtf").alias("tf"))
-    own = features if category is None else features.where(F.col("category") == category)
-    return vector.hashed_cosine(own, vector.hash_features(terms), n)
+    return vector.dense(vector.hash_features(terms))
+
+
+def hashed_near(vectors: DataFrame, queries: DataFrame, n: int, category: str | None) -> DataFrame:
+    """Vector ranking by hashed term counts."""
+    own = vectors if category is None else vectors.where(F.col("category") == category)
+    return vector.hashed_cosine(own, hashed_queries(queries), n)
 
 
 def dense_near(embeddings: DataFrame, queries: DataFrame, embedder: embedding.Embedder, n: int, category: str | None) -> DataFrame:
@@ -57,11 +62,11 @@ def merge(words: DataFrame, near: DataFrame, chunks: DataFrame, parents: DataFra
     return fusion.resolve_parents(fusion.fetch(fusion.rrf(words, near, n), chunks), parents, resolve)
 
 
-def hybrid(index: lexical.KeywordIndex, features: DataFrame, chunks: DataFrame, parents: DataFrame, queries: DataFrame, n: int = 8, category: str | None = None, resolve: bool = True, keyword_only: bool = False) -> DataFrame:
+def hybrid(index: lexical.KeywordIndex, vectors: DataFrame, chunks: DataFrame, parents: DataFrame, queries: DataFrame, n: int = 8, category: str | None = None, resolve: bool = True, keyword_only: bool = False) -> DataFrame:
     """Keyword and hashed vector ranking of each (query_id, query), merged."""
     category, many = category or None, fusion.fetch_size(n)
     words = lexical.bm25_search(index, queries, many, category)
-    near = words.where("false") if keyword_only else hashed_near(features, queries, many, category)
+    near = words.where("false") if keyword_only else hashed_near(vectors, queries, many, category)
     return merge(words, near, chunks, parents, n, resolve)
 
 
@@ -94,13 +99,14 @@ class Engine:
         chunks = w(snapshot, "chunks", chunks, "category")
         parents = w(snapshot, "parents", parents)
         index = lexical.build_index(chunks, written=False)
-        posting = w(snapshot, "postings", index.postings)
+        # In the order of the terms, so that a search for some of them skips most of the table.
+        posting = w(snapshot, "postings", index.postings.repartition("term").sortWithinPartitions("term"))
         lengths = w(snapshot, "doc_stats", index.doc_stats)
         terms, corpus = lexical.term_statistics(posting, lexical.corpus_size(lengths))
         w(snapshot, "term_stats", terms)
         w(snapshot, "corpus_stats", corpus)
         if self.embedder is None:
-            w(snapshot, "features", vector.hash_features(posting))
+            w(snapshot, "embeddings", vector.dense(vector.hash_features(posting)))
         else:
             w(snapshot, "embeddings", self._embedded(chunks) if embeddings is None else embeddings)
         w(snapshot, "manifest", maintenance.build_manifest(chunks, files))
@@ -121,11 +127,11 @@ class Engine:
         at = self.store.current()
         if at is None or self.store.table("settings", at).first()["key"] != settings_key(self.settings, self.embedder):
             return self.build_full()
-        files = source_files.all_files(self.spark, self.settings)
-        seen = files.select("source_path", "mtime")
+        # Names and times only; contents are read of what changed.
+        seen = source_files.all_files(self.spark, self.settings).select("source_path", "mtime")
         status = maintenance.diff(seen, self.store.table("manifest", at)).persist()
         try:
-            todo = files.join(status.where("status IN ('added', 'modified')").select("source_path"), "source_path", "left_semi")
+            todo = source_files.some_files(self.spark, self.settings, status.where("status IN ('added', 'modified')"))
             fresh, fresh_parents = chunk_all(todo, self.settings)
             chunks = maintenance.apply_changes(self.store.table("chunks", at).select(*CHUNK_COLUMNS), status, fresh)
             parents = maintenance.apply_changes(self.store.table("parents", at).select(*PARENT_COLUMNS), status, fresh_parents)
@@ -158,7 +164,7 @@ class Engine:
         t = lambda name: self.store.table(name, at)
         category, many = category or None, fusion.fetch_size(n)
         words = lexical.bm25_search(self._index(at), queries, many, category)
-        near = hashed_near(t("features"), queries, many, category) if self.embedder is None else dense_near(t("embeddings"), queries, self.embedder, many, category)
+        near = hashed_near(t("embeddings"), queries, many, category) if self.embedder is None else dense_near(t("embeddings"), queries, self.embedder, many, category)
         return merge(words, near, t("chunks"), t("parents"), n)
 
     def search(self, query: str, category: str | None = None, n: int = 8) -> DataFrame:
@@ -168,10 +174,10 @@ class Engine:
         """Search as a tool: arguments are checked, results come as text."""
         valid = sorted(c.name for c in self.settings.categories)
         if category and category not in valid:
-            return f"Invalid category '{category}'.\nValid options: {', '.join(valid)}"
+            return f"Invalid category '{category}'.\nValid options: {', '.join(valid)}\nUse list_categories() to see available categories with chunk counts."
         q = self.spark.createDataFrame([(0, query)], "query_id bigint, query string")
         found = self.search_many(q, category, fusion.wanted_results(n))
-        return fusion.render_results(found, q).first()["rendered"]  # one row
+        return fusion.render_results(found, q, category=category).first()["rendered"]  # one row
 
     def list_categories(self) -> str:
         at = self.store.current()

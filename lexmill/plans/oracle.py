@@ -180,10 +180,10 @@ def oracle_sql() -> dict[str, str]:
         "list_categories": f"""WITH {_STORE}, n AS (SELECT category, count(*) AS n FROM store GROUP BY 1),
             r AS (SELECT c.category, ord, coalesce(description, '') AS description, coalesce(n.n, 0) AS n FROM categories c LEFT JOIN n USING (category)),
             l AS (SELECT n, ord, '  ' || CASE WHEN length(category) >= 15 THEN category ELSE rpad(category, 15, ' ') END || ' ' || CASE WHEN length(format('{{:,}}', n)) >= 6 THEN format('{{:,}}', n) ELSE lpad(format('{{:,}}', n), 6, ' ') END || ' chunks' || CASE WHEN description <> '' THEN '  — ' || description ELSE '' END AS line FROM r)
-            SELECT 'knowledge base — ' || sum(n)::BIGINT || ' total chunks' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY n DESC, ord) AS report FROM l""",
+            SELECT 'knowledge base — ' || sum(n)::BIGINT || ' total chunks' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY n DESC, ord) || chr(10) || chr(10) || 'Usage: search_docs(query, category="<name>") to search within a category.' AS report FROM l""",
         "tokenize_chunks": f"""WITH {_STORE}, w AS (SELECT id, regexp_extract_all(lower(text), '{WORDS}') AS ws FROM store WHERE text IS NOT NULL)
             SELECT id, (generate_subscripts(ws, 1) - 1)::INT AS pos, unnest(ws) AS term FROM w""",
-        "postings_tf": f"WITH {_INDEX} SELECT id, term, tf FROM post",
+        "postings_tf": f"WITH {_INDEX} SELECT id, term, tf, dl FROM post JOIN docs_ USING (id)",
         "doc_len": f"WITH {_INDEX} SELECT id, dl FROM docs_",
         "term_stats_idf": f"WITH {_INDEX} SELECT term, df, round(idf, 6) AS idf FROM terms",
         "corpus_stats": f"WITH {_INDEX} SELECT n_docs, round(avgdl, 6) AS avgdl, round(avg_idf, 6) AS avg_idf FROM size_, mean_",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexmill.config import Category
 from lexmill.functions import paths, text
 from lexmill.operators import chunking, docstrings, fusion, html_markdown, lexical, maintenance, vector
-from lexmill.plans.engine import hybrid
+from lexmill.plans.engine import hashed_queries, hybrid
 from lexmill.plans.oracle import oracle_sql
 from lexmill.session import read_table
 
@@ -117,7 +117,7 @@ def tokenize_chunks(spark, d):
 
 
 def postings_tf(spark, d):
-    return lexical.postings(searchable(spark, d)).select("id", "term", "tf")
+    return lexical.postings(searchable(spark, d)).select("id", "term", "tf", "dl")
 
 
 def doc_len(spark, d):
@@ -173,8 +173,7 @@ def vector_topk_batch(spark, d):
 
 def _two_rankings(spark, d):
     index = lexical.build_index(searchable(spark, d))
-    terms = lexical.query_terms(stated(spark)).select(F.col("query_id").alias("id"), F.lit("").alias("category"), "term", F.col("qtf").alias("tf"))
-    near = vector.hashed_cosine(vector.hash_features(index.postings), vector.hash_features(terms), 24)
+    near = vector.hashed_cosine(vector.dense(vector.hash_features(index.postings)), hashed_queries(stated(spark)), 24)
     return lexical.bm25_search(index, stated(spark), 24), near
 
 
@@ -189,7 +188,7 @@ def rrf_fuse(spark, d):
 def _hybrid(spark, d, category=None, resolve=True, keyword_only=False, n=8):
     chunks = store(spark, d).where("text IS NOT NULL")
     index = lexical.build_index(chunks.select("id", "category", "text"))
-    return hybrid(index, vector.hash_features(index.postings), chunks, stored_parents(spark, d), stated(spark), n, category, resolve, keyword_only)
+    return hybrid(index, vector.dense(vector.hash_features(index.postings)), chunks, stored_parents(spark, d), stated(spark), n, category, resolve, keyword_only)
 
 
 def hybrid_search(spark, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,19 +13,28 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, local mode) a temporary folder
-    is chosen, once per session.
+    Only in local mode (tests) a session without one gets a temporary folder, once and removed at the end; on a
+    cluster each executor would write to a disk of its own, so there it is an error.
     """
     own = spark.conf.get("spark.checkpoint.dir", None)
     if own:
         return own.rstrip("/")
     own = spark.conf.get("spark.lexmill.sharedDir", None)
     if not own:
-        own = "file://" + tempfile.mkdtemp(prefix="lexmill-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lexmill-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        own = "file://" + folder
         spark.conf.set("spark.lexmill.sharedDir", own)
     return own
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for ``name`` among the tables of this application in the shared folder."""
+    return f"{shared_dir(spark)}/lexmill-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of ``df`` by a Parquet table in the shared folder.
 
@@ -31,19 +42,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     a recomputation of everything before this point.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexmill-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_written(spark: SparkSession) -> int:
-    """Remove the tables that materialize wrote to the shared folder; call it when no plan reads them any more."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    """Remove what this application wrote to the shared folder; call it when no plan reads it any more."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lexmill-{spark.sparkContext.applicationId}")
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [s.getPath() for s in (fs.listStatus(root) if fs.exists(root) else []) if s.getPath().getName().startswith("lexmill-")]
-    for path in found:
-        fs.delete(path, True)
-    return len(found)
+    if not fs.exists(root):
+        return 0
+    n = len(fs.listStatus(root))
+    fs.delete(root, True)
+    return n
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from lexmill.config import Category, Settings
 from lexmill.functions.paths import base_name, module_label, relative_path, suffix
 from lexmill.functions.text import decode
 
-FILE_SCHEMA = "source_path string, mtime timestamp, length bigint, category string, source string, module string, text string"
+#: Most files that are opened by name; beyond it a scan of the folders is cheaper for the driver.
+MOST_PATHS = 10_000
+FILE_SCHEMA = "path string, source_path string, mtime timestamp, length bigint, category string, source string, module string, text string"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -25,17 +29,13 @@ def _absolute(path: str, settings: Settings) -> str:
     return path if path.startswith("/") or "://" in path else f"{settings.data_root.rstrip('/')}/{path}"
 
 
-def category_files(spark: SparkSession, settings: Settings, category: Category) -> DataFrame:
-    """Files of a category; only suffixes that are asked for, folders that do not exist give none."""
-    folders = [q for p in category.paths if _exists(spark, q := _absolute(p, settings))]
-    if not folders:
-        return spark.createDataFrame([], FILE_SCHEMA)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
+def _rows(raw: DataFrame, settings: Settings, category: Category) -> DataFrame:
     path = relative_path("path", settings.data_root)
     return (
         raw.where(suffix("path").isin(*category.extensions))
-        .select(path.alias("source_path"), F.col("modificationTime").alias("mtime"), "length", "content")
+        .select("path", path.alias("source_path"), F.col("modificationTime").alias("mtime"), "length", "content")
         .select(
+            "path",
             "source_path",
             "mtime",
             "length",
@@ -47,11 +47,32 @@ def category_files(spark: SparkSession, settings: Settings, category: Category)
     )
 
 
+def _raw(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+
+
+def category_files(spark: SparkSession, settings: Settings, category: Category) -> DataFrame:
+    """Files of a category; only suffixes that are asked for, folders that do not exist give none."""
+    folders = [q for p in category.paths if _exists(spark, q := _absolute(p, settings))]
+    return _rows(_raw(spark, folders), settings, category) if folders else spark.createDataFrame([], FILE_SCHEMA)
+
+
 def all_files(spark: SparkSession, settings: Settings) -> DataFrame:
-    out = spark.createDataFrame([], FILE_SCHEMA)
-    for c in settings.categories:
-        out = out.unionByName(category_files(spark, settings, c))
-    return out
+    """Where only names and times are selected, no content is read."""
+    return reduce(DataFrame.unionByName, [category_files(spark, settings, c) for c in settings.categories], spark.createDataFrame([], FILE_SCHEMA))
+
+
+def some_files(spark: SparkSession, settings: Settings, wanted: DataFrame, most: int = MOST_PATHS) -> DataFrame:
+    """The files whose source_path is among ``wanted``; up to ``most`` of them are opened by name, more are picked from a scan."""
+    listed = all_files(spark, settings).select("source_path", "path", "category").join(wanted.select("source_path").distinct(), "source_path")
+    rows = listed.select("path", "category").limit(most + 1).collect()  # names of files, most + 1 of them
+    if len(rows) > most:
+        return all_files(spark, settings).join(wanted.select("source_path").distinct(), "source_path", "left_semi")
+    by: dict[str, list[str]] = {}
+    for r in rows:
+        by.setdefault(r["category"], []).append(r["path"])
+    found = [_rows(_raw(spark, sorted(set(by[c.name]))), settings, c) for c in settings.categories if c.name in by]
+    return reduce(DataFrame.unionByName, found, spark.createDataFrame([], FILE_SCHEMA))
 
 
 def census(spark: SparkSession, settings: Settings) -> DataFrame:

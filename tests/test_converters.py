@@ -27,6 +27,13 @@ def test_dialects():
     assert html_markdown.to_markdown(page, "sphinx") == "doc\n"
 
 
+def test_pages_nested_to_any_depth():
+    for tag, n in (("div", 10_000), ("b", 1000), ("ul><li", 1000), ("table><tr><td", 6)):
+        assert "deep" in html_markdown.to_markdown(f"<body>{f'<{tag}>' * n}deep</body>")
+    with pytest.raises(ValueError):  # text would double a hundred times
+        html_markdown.to_markdown(f"<body>{'<table><tr><td>' * 100}deep</body>")
+
+
 def test_convert_keeps_nulls_and_other_columns(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "<p>x</p>")], "k int, html string")
     assert {r["k"]: r["markdown"] for r in html_markdown.convert(df).collect()} == {1: None, 2: "\n", 3: "x\n"}

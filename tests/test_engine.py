@@ -1,4 +1,5 @@
 import os
+import shutil
 import time
 
 import pytest
@@ -6,8 +7,8 @@ import pytest
 from lexmill.config import Category, Settings
 from lexmill.operators.embedding import HashingEmbedder
 from lexmill.plans.engine import Engine
-from lexmill.session import drop_written, materialize
-from lexmill.sources.files import all_files, census
+from lexmill.session import drop_written, materialize, shared_dir
+from lexmill.sources.files import all_files, census, some_files
 from lexmill.streaming.ingest import follow
 
 TABLES = ("chunks", "parents", "postings", "doc_stats", "term_stats", "manifest", "category_stats")
@@ -36,7 +37,7 @@ def tree(tmp_path):
 
 def contents(engine):
     out = {}
-    for t in (*TABLES, "embeddings" if engine.embedder else "features"):
+    for t in (*TABLES, "embeddings"):
         df = engine.store.table(t)
         out[t] = sorted(map(repr, df.select(*sorted(c for c in df.columns if c != "mtime")).toPandas().round(9).values.tolist()))
     return out
@@ -95,12 +96,64 @@ def test_snapshots(spark, tree):
     for _ in range(3):
         engine.build_full()
     assert len(engine.store.drop_old(1)) == 2 and engine.store.is_ready()
-    with open(f"{index}/CURRENT", "w") as f:
-        f.write("gone")
+    newest = engine.store.current()
+    with open(f"{index}/published.999999999999999.gone", "w"):
+        pass
+    assert engine.store.current() == newest  # a pointer to nothing does not count
+    shutil.rmtree(newest)
     assert engine.store.current() is None
     assert engine.reindex().startswith("Re-indexing complete. 6 total chunks.")
 
 
+def test_a_reader_never_finds_the_index_gone_while_one_is_published(spark, tree):
+    _, settings, index = tree
+    engine = Engine(spark, index, settings)
+    engine.build_full()
+    first = engine.store.current()
+    engine.store._put(engine.store._path("published.999999999999998.half"))  # a build that dies before its folder is there
+    assert engine.store.current() == first
+    engine.build_full()
+    assert engine.store.current() != first
+
+
+def test_an_empty_corpus_and_one_whose_files_all_went(spark, tree):
+    root, settings, index = tree
+    engine = Engine(spark, index, settings)
+    engine.build_full()
+    for f in [*root.rglob("*.md"), *root.rglob("*.MD"), *root.rglob("*.txt")]:
+        f.unlink()
+    assert engine.build_incremental().total == 0 and engine.build_full().total == 0 and not engine.store.is_ready()
+    assert engine.search_docs("packets", "docs").startswith("No results found in category 'docs' for")
+
+
+def test_categories_that_look_like_numbers(spark, tree):
+    root, _, index = tree
+    engine = Engine(spark, index, Settings((Category("1", ("notes",), (".txt",), "whole_file", 0),), str(root)))
+    assert engine.build_full().by_category == {"1": 2}
+    assert engine.search("packets", "1").first()["category"] == "1"
+
+
+def test_only_changed_files_are_opened(spark, tree):
+    root, settings, _ = tree
+    wanted = spark.createDataFrame([("docs/net/a.md",), ("notes/n.txt",), ("notes/gone.txt",)], "source_path string")
+    for most in (10, 1):
+        got = some_files(spark, settings, wanted, most)
+        assert {r["source_path"] for r in got.select("source_path").collect()} == {"docs/net/a.md", "notes/n.txt"}
+    assert len(some_files(spark, settings, wanted).inputFiles()) == 2
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session)
+
+
 def test_a_file_stream_drives_builds(spark, tree, tmp_path):
     root, settings, index = tree
     engine = Engine(spark, index, settings)

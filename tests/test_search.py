@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lexmill.operators import fusion, lexical, vector
+from lexmill.operators import fusion, lexical, vector, vector_index
 
 DOCS = [
     ("a", "x", "the cat sat on the mat"),
@@ -114,3 +114,35 @@ def test_rendering(spark):
 def test_argument_clamps():
     assert [fusion.wanted_results(n) for n in (-1, 0, 3, 99)] == [1, 1, 3, 15]
     assert [fusion.fetch_size(n) for n in (1, 8, 15)] == [3, 24, 30]
+
+
+def test_inverted_file_of_vectors(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(30, 24))
+    m = np.repeat(base, 40, axis=0) + rng.normal(size=(1200, 24)) * 0.4
+    rows = [(i, m[i].tolist()) for i in range(1200)] + [(9000, None), (9001, [1.0, 2.0]), (9002, [0.0] * 24)]
+    df = spark.createDataFrame(rows, "id bigint, embedding array<double>").selectExpr("*", "1 AS cell").repartition(4)
+    q = df.where("id % 100 = 0 OR id = 9000").selectExpr("id AS query_id", "embedding")
+    centres = vector_index.fit_centres(df, 40)
+    index = vector_index.packed(vector_index.assign(df, centres))
+    key = lambda x: {(r["query_id"], r["rank"], r["id"], r["score"]) for r in x.collect()}
+    exact = key(vector.cosine_topk(df, q, 10))
+    assert key(vector_index.search(index, centres, q, 10, probes=40)) == exact  # all cells open
+    pair = lambda x: {(a, c) for a, _, c, _ in x}
+    near = pair(key(vector_index.search(index, centres, q, 10, probes=8)))
+    assert len(near & pair(exact)) / len(exact) >= 0.9
+
+
+def test_an_empty_inverted_file(spark):
+    df = spark.createDataFrame([], "id bigint, embedding array<double>")
+    centres = vector_index.fit_centres(df)
+    index = vector_index.packed(vector_index.assign(df, centres))
+    q = spark.createDataFrame([(1, [1.0])], "query_id bigint, embedding array<double>")
+    assert vector_index.search(index, centres, q).count() == 0
+
+
+def test_only_parents_of_hits_are_read(spark):
+    hits = spark.createDataFrame([(1, 1, "c1", "t", "", "", "", "", "p1")], "query_id bigint, rank int, id string, text string, category string, source string, source_path string, module string, parent_id string")
+    parents = spark.createDataFrame([("p1", "old"), ("p1", "older"), ("p2", "x")], "parent_id string, text string")
+    got = fusion.resolve_parents(hits, parents).collect()
+    assert [(r["text"], r["parent_id"]) for r in got] == [("older", "p1")]
