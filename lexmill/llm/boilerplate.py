@@ -36,7 +36,7 @@ ROUNDS = 100
 THRESHOLD = 0.5
 
 # ------------------------------------------------------------- fixed values
-# Wording of page furniture, read off inspected pages; used for labels only.
+# Wording of page furniture, read off inspected pages; it labels the sample and is no feature of the model.
 NAVIGATION = """
 about us|blog|careers|community|contact|create account|customers|developers|documentation|downloads|events|examples|forum|home|knowledge base|
 licensing|my account|partners|press|pricing|products|release notes|sign in|solutions|status|store|support|training|tutorials|webinars|
@@ -93,9 +93,6 @@ def _wordlist(text: str) -> frozenset:
 
 _NAV, _FOOT, _HEADS, _TOC, _CONTROL, _SECTION = map(_wordlist, (NAVIGATION, FOOTER, LIST_HEADS, CONTENTS, CONTROLS, SECTIONS))
 
-_CUES = (("navigation", _NAV), ("footer", _FOOT), ("head", _HEADS), ("contents", _TOC), ("control", _CONTROL), ("section", _SECTION))
-_KNOWN = _NAV | _FOOT | _HEADS | _TOC | _CONTROL | _SECTION
-
 # -------------------------------------------------------------------- lines
 
 _BULLET = re.compile(r"^\s*(?:([-*•+])|(\d{1,3}[.)]))\s+")
@@ -144,14 +141,14 @@ def read_page(text: str) -> list[Line]:
             kind = "table"
         else:
             n = len(body.split())
-            goes_on = bool(lines) and not first and lines[-1].kind == "sentence" and len(lines[-1].text) >= 40 and lines[-1].text[-1] not in ".?!。？！" and not bullet and body.lower() not in _KNOWN
+            goes_on = bool(lines) and not first and lines[-1].kind == "sentence" and len(lines[-1].text) >= 40 and lines[-1].text[-1] not in ".?!。？！" and not bullet
             # A line without a full stop is running text if it is long, or goes on in the next line.
             wraps = len(body) >= 60 or number < len(raws) and raws[number].strip()[:1].islower()
-            long = n >= 7 and len(body) >= 40 and wraps and not _SEPARATED.search(body) or any(ord(c) > 0x2E80 for c in body[:4]) and len(body) >= 14
+            long = n >= 7 and len(body) >= 40 and wraps and not _SEPARATED.search(body) or len(body) >= 14 and 2 * sum(c > "\u2e80" for c in body) > len(body)
             done = body[-1] in ".?!。？！" and n >= 4
             kind = "sentence" if (goes_on or long or done) and not bullet else "item" if bullet else "short"
         lines.append(Line(number, s, _DECORATION.sub("", body).lower(), kind, bullet, block, -1, "", ""))
-    crumbs = {x.bare.rsplit(sep, 1)[1].strip() for x in lines[:40] for sep in (" › ", " > ", " » ", " / ") if sep in x.bare}
+    crumbs = {x.bare.rsplit(sep, 1)[1].strip() for x in lines for sep in (" › ", " > ", " » ", " / ") if sep in x.bare}
     seen = Counter(x.bare for x in lines)
     past: Counter = Counter()
     head = -1
@@ -165,11 +162,11 @@ def read_page(text: str) -> list[Line]:
             x.edge = "root"
         elif x.block != prev.block:
             x.parent, x.edge = head, f"block {lines[head].kind} {x.kind}"
-        elif x.kind in ("item", "short") and prev.kind == x.kind and prev.bullet == x.bullet and prev.parent >= 0 and prev.edge.startswith("list") and "|" not in prev.edge and "." not in prev.edge:
+        elif x.kind in ("item", "short") and prev.kind == x.kind and prev.bullet == x.bullet and prev.parent >= 0 and prev.edge.startswith("list") and "|" not in prev.edge:
             x.parent, x.edge = prev.parent, prev.edge
         elif x.kind in ("item", "short") and prev.kind in ("short", "item", "sentence", "heading"):
             # A line that is a list in itself opens none.
-            row = "|" if _SEPARATED.search(prev.text) else "!" if prev.bare in _HEADS or prev.bare in _TOC else "." if prev.bare in _CONTROL else ""
+            row = "|" if _SEPARATED.search(prev.text) else ""
             x.parent, x.edge = i - 1, f"list {prev.kind}{prev.bullet}{row} {x.kind}{x.bullet}"
         else:
             x.parent, x.edge = i - 1, f"next {prev.kind} {x.kind}"
@@ -185,16 +182,9 @@ def features(lines: list[Line], i: int) -> list[str]:
         return out
     form = _DIGITS.sub("9", x.bare)
     words = _LETTERS.findall(form)
-    out.append("form " + form[:80])
-    # Wording shared by all languages of the corpus, so that rare ones need no pages of their own.
-    for name, listed in _CUES:
-        if x.bare in listed:
-            out.append("cue " + name)
-    if len(x.bare) < 220 and "`" not in x.bare and _PHRASES.search(x.bare):
-        out.append(f"cue phrase {x.kind}")
-        out.append("cue phrase")
+    out.append("form " + form)
     prefix = "w " if x.kind == "sentence" else "s "
-    out += [prefix + w for w in words[:40]]
+    out += [prefix + w for w in words]
     if i == 0:
         out.append(f"top {x.kind}")
     if x.text[-1] in "→›»":
@@ -203,7 +193,7 @@ def features(lines: list[Line], i: int) -> list[str]:
     if prev is not None:
         out.append(f"after {x.kind}{x.bullet} {'same' if prev.block == x.block else 'gap'} {prev.kind}{prev.bullet}")
     if x.parent >= 0 and x.edge.startswith("list") and lines[x.parent].kind == "short":
-        out.append("under " + _DIGITS.sub("9", lines[x.parent].bare)[:60])
+        out.append("under " + _DIGITS.sub("9", lines[x.parent].bare))
     if words:
         out.append(f"first {words[0]}")
         out.append(f"pair {' '.join(words[:2])}")
@@ -225,7 +215,7 @@ def features(lines: list[Line], i: int) -> list[str]:
     out.append(f"place {x.kind} {place}")
     if nxt is not None and nxt.block == x.block:
         # A heading of a table of contents stands over entries that come again.
-        out.append(f"over {nxt.repeat} {x.kind} {x.bare if x.bare in _TOC else ''}")
+        out.append(f"over {nxt.repeat} {x.kind}")
     return out
 
 
@@ -239,10 +229,12 @@ def label_lines(lines: list[Line]) -> list[int | None]:
         bare = x.bare
         parts = [p.strip().lower() for p in _SEPARATED.split(bare) if p.strip()]
         known = sum(_DECORATION.sub("", p) in _NAV or p in _FOOT or p in _CONTROL or bool(_PHRASES.search(p)) for p in parts)
-        if bare in _HEADS or bare in _FOOT or bare in _CONTROL or _PHRASES.search(bare) and x.kind != "item" and len(bare) < 220 and "`" not in bare:
+        if bare in _HEADS or bare in _FOOT or bare in _CONTROL or _PHRASES.search(bare) and x.kind != "item" and "`" not in bare:
             out[i] = 1
         elif len(parts) > 1 and known * 2 >= len(parts) and known > 1:
             out[i] = 1
+        elif bare in _NAV and x.bullet == "1":
+            out[i] = 0  # steps are numbered, menus are not
         elif bare in _NAV:
             near = [lines[j] for j in (i - 1, i + 1) if 0 <= j < len(lines) and lines[j].block == x.block]
             if any(y.bare in _NAV or y.bare in _FOOT for y in near):
@@ -263,7 +255,7 @@ def label_lines(lines: list[Line]) -> list[int | None]:
             goes_on = j < len(lines) and lines[j].block == x.block and lines[j].kind == "sentence" and out[j] == 0
             if j - i > 2 and lines[j - 1].kind == "short" and (goes_on or lines[j - 1].bare in _SECTION and "early" not in lines[j - 1].repeat):
                 out[j - 1] = 0
-    navigated = {x.block for x in lines if x.bare in _NAV}
+    navigated = {x.block for x in lines if x.bare in _NAV and x.bullet != "1"}
     clean = {x.block for x in lines} - {x.block for x, y in zip(lines, out) if y == 1}
     for i, x in enumerate(lines):
         if out[i] is not None or x.kind not in ("item", "short"):
