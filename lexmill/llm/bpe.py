@@ -14,8 +14,10 @@ from __future__ import annotations
 import base64
 import importlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 DEFAULT_VOCABULARY = "byte_bpe_50k"
 #: Pieces kept with their ids in each worker; the memory bound of the cache.
 CACHE_PIECES = 400_000
+#: Pairs of tokens of which a worker knows whether they may stand side by side.
+CACHE_PAIRS = 1_000_000
 #: Longer pieces are rare and not worth keeping.
 CACHE_CHARS = 64
 
@@ -48,6 +52,7 @@ class PrefixEncoder:
         self.tokens = {i: b for b, i in ranks.items()}
         # Every ending of a token, to know when no longer token can end here.
         self.endings = {b[k:] for b in ranks for k in range(len(b))}
+        self.longest = max(map(len, ranks), default=0)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.own: dict[int, bool] = {}
 
@@ -78,6 +83,8 @@ class PrefixEncoder:
     def _fits(self, left: int, right: int) -> bool:
         key = (left, right)
         if (known := self.pairs.get(key)) is None:
+            if len(self.pairs) >= CACHE_PAIRS:
+                self.pairs.clear()
             known = self.pairs[key] = self._merge(self.tokens[left] + self.tokens[right]) == [left, right]
         return known
 
@@ -117,9 +124,19 @@ class PrefixEncoder:
         return self.extend(list(last), piece + more, len(piece))
 
     def edit(self, last: list[int], piece: bytes, at: int, gone: int, new: bytes) -> tuple[bytes, list[int]]:
-        """Replace ``gone`` bytes at ``at`` by ``new``; only prefixes past ``at`` are computed again."""
-        changed = piece[:at] + new + piece[at + gone :]
-        return changed, self.extend(last[:at], changed, at)
+        """Replace ``gone`` bytes at ``at`` by ``new``.
+
+        Prefixes up to ``at`` keep their last tokens.  Behind the edit prefixes are computed again until as many in a
+        row as the longest token has bytes come out as before: what follows depends on those alone.
+        """
+        changed, shift = piece[:at] + new + piece[at + gone :], len(new) - gone
+        out, same = self.extend(last[:at], changed[: at + len(new)], at), 0
+        for end in range(at + len(new), len(changed)):
+            if same >= self.longest:
+                return changed, out + last[end - shift :]
+            self.extend(out, changed[: end + 1], end)
+            same = same + 1 if out[end] == last[end - shift] else 0
+        return changed, out
 
 
 class _Packed(dict):
@@ -146,7 +163,8 @@ class TextEncoder:
         import regex
 
         self.packed = _Packed(PrefixEncoder.from_file(path))
-        self.split = regex.compile(split_pattern()).findall
+        self.pattern = regex.compile(split_pattern())
+        self.split = self.pattern.findall
 
     def encode_packed(self, text: str | None) -> bytes:
         return b"".join(map(self.packed.__getitem__, self.split(text))) if text else b""
@@ -158,6 +176,38 @@ class TextEncoder:
         return len(self.encode_packed(text)) // 4
 
 
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        tokens = self.packed.pieces.tokens
+        return b"".join(map(tokens.__getitem__, ids)).decode("utf-8", "replace")
+
+    def replace(self, text: str, ids: list[int], at: int, gone: int, new: str) -> tuple[str, list[int]]:
+        """The text with ``gone`` characters at ``at`` replaced by ``new``, and its ids; pieces that did not change keep theirs.
+
+        Pieces in front of the one before the edit stay.  Behind it they are split again until a piece starts where
+        an old one did; as the split looks one piece ahead at most, what follows is as before.
+        """
+        changed, shift = text[:at] + new + text[at + gone :], len(new) - gone
+        starts = [0]
+        for piece in self.split(text):
+            starts.append(starts[-1] + len(piece))
+        sizes = {s: len(self.packed[text[s:e]]) // 4 for s, e in zip(starts, starts[1:])}
+        first = max(0, bisect_right(starts, at) - 3)
+        begin = starts[first]
+        offset = dict(zip(starts, accumulate([0, *(sizes[s] for s in starts[:-1])])))
+        out, place, known = list(ids[: offset[begin]]), begin, set(starts)
+        met = 0
+        for piece in self.pattern.finditer(changed, begin):
+            if place >= at + len(new) and place - shift in known:
+                met += 1
+                if met > 2:
+                    return changed, out + list(ids[offset[place - shift] :])
+            else:
+                met = 0
+            out += memoryview(self.packed[piece[0]]).cast("i").tolist()
+            place = piece.end()
+        return changed, out
+
+
 @lru_cache(maxsize=4)
 def text_encoder(path: str) -> TextEncoder:
     """One encoder per worker process and vocabulary."""
@@ -197,3 +247,34 @@ def _run(df: DataFrame, column: str, out: str, keep: list[str] | None, vocabular
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (inner.schema[c] for c in keep))
     made = "bigint" if lengths_only else "array<int>"
     return inner.mapInArrow(_encode_batches(column, out, vocabulary_path(vocabulary), lengths_only, keep), f"{kinds}{', ' if kinds else ''}`{out}` {made}")
+
+
+def decode_column(df: DataFrame, column: str = "ids", out: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """``df`` with the text of ``column`` as ``out`` instead of it; null and empty lists give an empty text."""
+    path, rest = vocabulary_path(vocabulary), [c for c in df.columns if c not in (column, out)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = text_encoder(path)
+        for b in batches:
+            texts = [enc.decode(x.as_py() or ()) for x in b.column(b.schema.get_field_index(column))]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), pa.array(texts, pa.string())], names=[*rest, out])
+
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in rest)
+    return df.mapInArrow(run, f"{kinds}`{out}` string")
+
+
+def check_edits(df: DataFrame, id_column: str = "doc_id", column: str = "text", new: str = " (see note)", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """``id_column`` and ``equal``: whether the ids of a text with ``new`` for its middle character are those of encoding it anew; null counts as empty."""
+    path = vocabulary_path(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = text_encoder(path)
+        for b in batches:
+            made = []
+            for x in b.column(1):
+                text = x.as_py() or ""
+                changed, ids = enc.replace(text, enc.encode(text), len(text) // 2, min(1, len(text)), new)
+                made.append(ids == enc.encode(changed))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.bool_())], names=[id_column, "equal"])
+
+    return df.select(id_column, column).mapInArrow(run, f"`{id_column}` {df.schema[id_column].dataType.simpleString()}, equal boolean")

@@ -61,6 +61,16 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(read_table(spark, d, "documents", spread=True), keep=["doc_id"])
 
 
+def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of the ids, which are the texts again; null ones come out empty."""
+    return bpe.decode_column(p6_ids(spark, d), "ids", "text")
+
+
+def p6_edited(spark: SparkSession, d: str) -> DataFrame:
+    """Every text after an edit in its middle: are the ids taken over from before those of encoding it anew?"""
+    return bpe.check_edits(read_table(spark, d, "documents", spread=True))
+
+
 def p7_drawn(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(read_table(spark, d, "documents", spread=True), read_table(spark, d, "mix_targets"))[0]
 
@@ -105,6 +115,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": p5_found,
         "p5_articles": p5_articles,
         "p6_ids": p6_ids,
+        "p6_decoded": p6_decoded,
+        "p6_edited": p6_edited,
         "p7_drawn": p7_drawn,
         "p7_shares": p7_shares,
         "p7_limits": p7_limits,
@@ -146,8 +158,30 @@ def _pieces_sql() -> str:
             SELECT item_kind, item_id, 0, 0, t, coalesce(size_limit, 0)::INT FROM sized WHERE size_limit IS NULL OR length(t) <= size_limit"""
 
 
+# All pairs that share a triple of words, by brute force.
+_SIMILAR = r"""
+            WITH RECURSIVE w AS (
+              SELECT id, regexp_extract_all(lower(any_value(text)), '[\p{L}\p{N}_]+') AS ws FROM chunks WHERE id IS NOT NULL AND text IS NOT NULL GROUP BY id),
+            s AS (
+              SELECT DISTINCT id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
+              FROM (SELECT id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 20)),
+            n AS (SELECT id, count(*) AS n, list(g ORDER BY g) AS gs FROM s GROUP BY id),
+            c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+            p AS (SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 10 * c >= 6 * (x.n + y.n - c))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": f"{_SIMILAR} SELECT * FROM p",
+        "p3_groups": f"""{_SIMILAR},
+            links AS (SELECT id_a AS id, id_b AS other FROM p UNION ALL SELECT id_b, id_a FROM p),
+            cls AS (SELECT n.id, min(m.id) AS class_id FROM n JOIN n m USING (gs) GROUP BY n.id),
+            reach AS (SELECT id, id AS other FROM links UNION SELECT r.id, b.other FROM reach r JOIN links b ON r.other = b.id),
+            grp AS (SELECT id, min(other) AS first FROM reach GROUP BY id)
+            SELECT b.id, any_value(k.class_id) AS class_id, any_value(f.class_id) AS group_id, count(*) AS n_links
+            FROM links b JOIN cls k ON k.id = b.id JOIN grp ON grp.id = b.id JOIN cls f ON f.id = grp.first GROUP BY b.id""",
+        "p6_edited": "SELECT doc_id, true AS equal FROM documents",
+        "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p2_found": f"""
             WITH {_LIMITS}
             SELECT DISTINCT id AS item_id FROM chunks JOIN lim USING (category) WHERE length(text) > child

@@ -49,6 +49,25 @@ def test_append_and_edit_equal_encoding_anew(both):
         assert changed == a[:at] + b + a[at + 2 :] and new == p.extend([], changed, 0)
 
 
+def test_an_edited_text_keeps_the_ids_beside_the_edit(both):
+    own = both[0]
+    rng = random.Random(8)
+    parts = ["a", "the ", "don't", "'s ", " ", "  ", "\n", "\n\n", "123", "45", ".", ", ", "é", "你好", "x" * 9, "🙂", "\t", "'"]
+    for _ in range(600):
+        t = "".join(rng.choices(parts, k=rng.randrange(1, 60)))
+        at = rng.randrange(len(t) + 1)
+        gone, new = rng.randrange(min(6, len(t) - at) + 1), "".join(rng.choices(parts, k=rng.randrange(3)))
+        changed, ids = own.replace(t, own.encode(t), at, gone, new)
+        assert changed == t[:at] + new + t[at + gone :] and ids == own.encode(changed)
+
+
+def test_known_pairs_are_bounded(both, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PAIRS", 20)
+    p = bpe.PrefixEncoder(both[0].packed.pieces.ranks)
+    p.extend([], b"an ordinary piece of text that is long enough", 0)
+    assert len(p.pairs) <= 20
+
+
 def test_cache_is_bounded(both, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_PIECES", 10)
     own = bpe.TextEncoder(bpe.vocabulary_path())
