@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.operators.lexical import rank
-from lexmill.operators.vector import _best, _pack_with
+from lexmill.operators.vector import _best, _pack_with, cosine_topk
 
 #: Most rows the centres are fitted on.
 SAMPLE = 20_000
@@ -93,6 +93,20 @@ def packed(assigned: DataFrame, id_column: str = "id", vector: str = "embedding"
     return spread.mapInPandas(run, f"ids array<{id_type}>, rows binary, width int, cell int")
 
 
+def probes_for(assigned: DataFrame, centres: np.ndarray, n: int = 20, target: float = 0.95, asked: int = 200, id_column: str = "id", vector: str = "embedding") -> int:
+    """How many cells a search must open to find ``target`` of the true best ``n``, measured on about ``asked`` rows as queries against all rows."""
+    rows = assigned.where("cell >= 0").select(F.col(id_column).alias("id"), F.col(vector).alias("embedding"), "cell")
+    total, grain = rows.count(), 1 << 40
+    if not total or not len(centres):
+        return 1
+    q = rows.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(grain)) < math.ceil(grain * min(1.0, asked / total))).limit(2 * asked).select(F.col("id").alias("query_id"), "embedding")
+    exact = cosine_topk(rows.select("id", "embedding"), q, n)
+    found = exact.join(rows.select("id", "cell"), "id").join(q, "query_id").select("cell", "embedding").collect()  # 2 * asked * n rows at most
+    order = np.argsort(-(np.array([r["embedding"] for r in found], np.float64) @ centres.T), axis=1, kind="stable")
+    places = np.argmax(order == np.array([r["cell"] for r in found])[:, None], axis=1)
+    return int(np.quantile(places, target, method="higher")) + 1
+
+
 def search(index: DataFrame, centres: np.ndarray, queries: DataFrame, n: int = 20, probes: int = 8, vector: str = "embedding") -> DataFrame:
     """query_id, id, score, rank of the best ``n`` rows in the ``probes`` cells nearest to each query (query_id, embedding)."""
     shared = queries.sparkSession.sparkContext.broadcast(centres)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lexmill.plans import cases
+
 SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 LINE_SPACE = r"[\t\x0b-\r\x1c-\x20\x{85}\p{Z}]"
 WORDS = r"[\p{L}\p{N}_]+"
@@ -56,7 +58,7 @@ heading AS (
 
 _STORE = "store AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC) = 1)"
 
-_INDEX = f"""{_STORE},
+_TOKENS = f"""
 tok AS (SELECT id, category, unnest(regexp_extract_all(lower(text), '{WORDS}')) AS term FROM store WHERE text IS NOT NULL),
 post AS (SELECT id, category, term, count(*)::INT AS tf FROM tok GROUP BY ALL),
 docs_ AS (SELECT id, category, len(regexp_extract_all(lower(text), '{WORDS}'))::INT AS dl FROM store WHERE text IS NOT NULL),
@@ -65,6 +67,8 @@ raw_ AS (SELECT term, df, ln(n_docs - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) A
 mean_ AS (SELECT avg(r) AS avg_idf FROM raw_),
 terms AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25::DOUBLE * avg_idf ELSE r END AS idf FROM raw_, mean_)"""
 
+_INDEX = f"{_STORE},{_TOKENS}"
+
 _STATED = "q AS (SELECT * FROM (VALUES (1::BIGINT, 'how to export the remote cache'), (2, 'cookie settings and the privacy policy'), (3, 'serial panel compiler epoch the the epoch')) v(query_id, query))"
 _TITLES = "q AS (SELECT doc_id AS query_id, title AS query FROM documents WHERE doc_id % 100 = 0 AND title IS NOT NULL)"
 
@@ -111,11 +115,11 @@ fused AS (
   FROM both_ {limit})"""
 
 
-def _hybrid(n: int, category: str | None = None, keyword_only: bool = False) -> str:
+def _hybrid(n: int, category: str | None = None, keyword_only: bool = False, index: str = _INDEX) -> str:
     where = f"WHERE post.category = '{category}'" if category else ""
     many = min(3 * n, 30)
     near = "near_ AS (SELECT * FROM words_ WHERE false)" if keyword_only else _near("near_", many, where)
-    return f"{_INDEX}, {_STATED}, {_bm25('words_', many, where)}, {near}, {_fused(n)}"
+    return f"{index}, {_STATED}, {_bm25('words_', many, where)}, {near}, {_fused(n)}"
 
 
 _RESULT = "query_id, rank, text, coalesce(category, '') AS category, coalesce(source, '') AS source, coalesce(source_path, '') AS source_path, coalesce(module, '') AS module"
@@ -159,6 +163,63 @@ rendered AS (SELECT *, {_ITEM_MD} AS md FROM funcs)"""
 _GROUP = "CASE WHEN len(string_split(source_file, '/')) >= 3 THEN array_to_string(string_split(source_file, '/')[1:3], '.') WHEN len(string_split(source_file, '/')) = 2 THEN array_to_string(string_split(source_file, '/'), '.') ELSE replace(source_file, '.py', '') END"
 
 
+_RESOLVED = """
+hit AS (
+  SELECT query_id, rank, f.id, s.parent_id, s.text, coalesce(s.source_path, '') AS source_path, coalesce(s.source, '') AS source, coalesce(s.module, '') AS module, p.text AS ptext
+  FROM fused f JOIN store s USING (id) LEFT JOIN (SELECT parent_id, max(text) AS text FROM parents GROUP BY 1) p ON s.parent_id = p.parent_id),
+grp AS (
+  SELECT query_id, CASE WHEN ptext IS NOT NULL THEN parent_id END AS parent_id, coalesce(CASE WHEN ptext IS NOT NULL THEN parent_id END, '#' || id) AS k, ptext IS NOT NULL AS isp, count(*) AS hits, min(rank) AS fr,
+    arg_min(source_path, rank) AS source_path, arg_min(source, rank) AS source, arg_min(module, rank) AS module, arg_min(coalesce(ptext, text), rank) AS text FROM hit GROUP BY 1, 2, 3, 4)"""
+_RANKED = "(row_number() OVER (PARTITION BY query_id ORDER BY isp DESC, CASE WHEN isp THEN hits END DESC NULLS LAST, fr))::INT"
+
+# What an engine over the documents as files holds: parents by headings, children by windows.
+_BUILT = f"""{_HEADING},
+parents AS (SELECT md5(source_path || '|p' || chunk_no) AS parent_id, source_path, 'docs' AS category, text, source_path || '|p' || chunk_no AS pk FROM heading),
+par AS (SELECT pk, text AS t FROM parents), {_windows('child', 'par', 'pk', 300, 50)},
+store AS (
+  SELECT md5(pk || '|c' || piece_no) AS id, source_path, string_split(source_path, '/')[-1] AS source, string_split(source_path, '/')[-2] AS module, 'docs' AS category, parent_id, c.text
+  FROM child c JOIN parents USING (pk))"""
+
+
+def _cases() -> dict[str, str]:
+    chunks = f"WITH RECURSIVE {_BUILT} SELECT id, source_path, source, module, category, parent_id, text FROM store"
+    usage = "chr(10) || chr(10) || 'Usage: search_docs(query, category=\"<name>\") to search within a category.'"
+    return {
+        "engine_full_build": chunks,
+        "engine_incremental_build": chunks,
+        "engine_parents": f"WITH RECURSIVE {_BUILT} SELECT parent_id, source_path, category, text FROM parents",
+        "engine_manifest": f"WITH RECURSIVE {_BUILT} SELECT source_path, 'docs' AS category, count(*) AS n_chunks, list_sort(list(DISTINCT id)) AS chunk_ids, list_sort(list(DISTINCT parent_id)) AS parent_ids FROM store GROUP BY 1",
+        "engine_search": f"WITH RECURSIVE {_hybrid(8, index=_BUILT + ',' + _TOKENS)}, {_RESOLVED} SELECT query_id, {_RANKED} AS rank, parent_id, hits, source_path, source, module, text FROM grp",
+        "engine_report": f"""WITH RECURSIVE {_BUILT}, n AS (SELECT count(*) AS n FROM store)
+            SELECT 'Index not built yet.' AS before, false AS ready_before, 'full' AS mode, n AS total, true AS ready,
+              'knowledge base — ' || n || ' total chunks' || chr(10) || chr(10) || '  docs            ' || lpad(format('{{:,}}', n), 6, ' ') || ' chunks  — Manual pages' || {usage} AS report,
+              'Invalid category ''nothing''.' || chr(10) || 'Valid options: docs' || chr(10) || 'Use list_categories() to see available categories with chunk counts.' AS refused,
+              'Searches the knowledge base. Categories: docs (Manual pages).' AS banner FROM n""",
+        "file_scan": cases.values([
+            ("docs/net/a.md", "docs", "a.md", "net", 22, "# Title\nintro � end"), ("docs/net/B.MD", "docs", "B.MD", "net", 9, "upper"), ("docs/empty.md", "docs", "empty.md", "docs", 3, ""),
+            ("more/deep/er/c.md", "docs", "c.md", "er", 12, "third\nfolder"), ("notes/n.txt", "notes", "n.txt", "", 11, "Grüße\u2028x"),
+        ], "source_path, category, source, module, length, text").replace("SELECT *", "SELECT * REPLACE (length::BIGINT AS length)"),
+        "file_census": cases.values([("docs", 4), ("notes", 1), ("none", 0)], "category, n_files").replace("SELECT *", "SELECT * REPLACE (n_files::BIGINT AS n_files)"),
+        "missing_folders": cases.values([("missing",), ("nowhere",)], "folder"),
+        "index_files": cases.values([("docs/net/a.md", "docs", 1), ("docs/net/B.MD", "docs", 1), ("more/deep/er/c.md", "docs", 1), ("notes/n.txt", "notes", 1)], "source_path, category, n_chunks").replace("SELECT *", "SELECT * REPLACE (n_chunks::BIGINT AS n_chunks)"),
+        "html_cases": cases.values([(n, m) for n, _, _, m in cases.PAGES], "name, markdown"),
+        "docstring_cases": cases.values([("lib/pkg.py", *x, k) for k, x in enumerate(cases.ITEMS)], "source_file, kind, name, signature, docstring, item_no"),
+        "cli_clean_html": cases.values([("a/one.md", "# T\n\ntext\n"), ("two.md", "x\n")], "name, text"),
+        "cli_docstrings": cases.values([
+            ("a.b.m.py.md", "# a.b.m.py\n\n\n### `f`\n\n```python\ndef f(x)\n```\n\n\nDoes.\n"), ("a.b.c.md", "# a.b.c\n\n\n## `C`\n\n*Source: `n.py`*\n"), ("top.md", "# top\n\n\n### `g`\n\n```python\ndef g()\n```\n\n\nGoes.\n"),
+        ], "name, text"),
+        "cli_docstrings_flat": cases.values([("m.md", "# m\n\n\n### `f`\n\n```python\ndef f(x)\n```\n\n\nDoes.\n"), ("m.pyi.md", "# m.pyi\n\n\n### `f`\n\n```python\ndef f(x: int)\n```\n\n\nTyped.\n")], "name, text"),
+        "search_sizes": "SELECT asked, greatest(1, least(asked, 15)) AS wanted, least(3 * greatest(1, least(asked, 15)), 30) AS fetched FROM (SELECT unnest([-3, 0, 1, 8, 10, 11, 15, 16, 1000])::INT AS asked)",
+        "category_settings": "SELECT category, chunk_strategy = 'whole_file' OR coalesce(chunk_size, 0) = 0 AS whole, coalesce(child_chunk_size, 0) > 0 AS has_children, coalesce(module_field, false) AS module_field FROM categories",
+        "flat_titles": "SELECT DISTINCT source_file, regexp_replace(source_file, '\\.py$', '') AS title, CASE WHEN contains(source_file, '/') THEN array_to_string(string_split(source_file, '/')[1:2], '.') ELSE replace(source_file, '.py', '') END AS group_key FROM docstring_items",
+        "chunk_each_strategy": f"""WITH RECURSIVE {_HEADING},
+            a AS (SELECT 'whole_file' AS strategy, text FROM corpus WHERE length(text) > 0 UNION ALL SELECT 'char', text FROM corpus WHERE length(text) > 0 UNION ALL SELECT 'heading', text FROM heading)
+            SELECT strategy, count(*) AS n_chunks, sum(length(text))::BIGINT AS n_chars FROM a GROUP BY 1""",
+        "vector_index_exact": _cosine(20, "vec_id % 100 = 0"),
+        "vector_index_recall": "SELECT 20 * count(*) AS n, true AS enough FROM embeddings WHERE vec_id % 100 = 0",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     hybrid_rows = f"SELECT {_RESULT} FROM fused JOIN store USING (id)"
     return {
@@ -175,7 +236,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT id, p[-1] AS source, lower(regexp_extract(p[-1], '.(\\.[^.]+)$', 1)) AS suffix, CASE WHEN category IN ('docs', 'api', 'guides', 'faq', 'notes') AND len(p) > 1 THEN p[-2] ELSE '' END AS module, category FROM c""",
         "upsert_last_wins": f"WITH {_STORE} SELECT id, category, source_path, module, parent_id, coalesce(length(text), -1)::INT AS n_chars, indexed_at FROM store",
         "chunks_per_category": f"WITH {_STORE} SELECT category, count(*) AS n FROM store GROUP BY 1",
-        "chunks_total_rollup": f"WITH {_STORE} SELECT category, count(*) AS n, grouping(category)::INT AS is_total FROM store WHERE category IS NOT NULL GROUP BY ROLLUP (category)",
+        "chunks_total_rollup": f"WITH {_STORE} SELECT category, count(*) AS n, grouping(category)::INT AS is_total FROM store GROUP BY ROLLUP (category)",
         "manifest_counts": "SELECT category, sum(coalesce(len(chunk_ids), 0))::BIGINT AS n FROM (SELECT * FROM manifest QUALIFY row_number() OVER (PARTITION BY source_path ORDER BY mtime DESC) = 1) GROUP BY 1",
         "list_categories": f"""WITH {_STORE}, n AS (SELECT category, count(*) AS n FROM store GROUP BY 1),
             r AS (SELECT c.category, ord, coalesce(description, '') AS description, coalesce(n.n, 0) AS n FROM categories c LEFT JOIN n USING (category)),
@@ -198,11 +259,8 @@ def oracle_sql() -> dict[str, str]:
         "hybrid_search": f"WITH {_hybrid(8)} {hybrid_rows}",
         "hybrid_search_category": f"WITH {_hybrid(8, 'api')} {hybrid_rows}",
         "hybrid_lexical_only": f"WITH {_hybrid(8, keyword_only=True)} {hybrid_rows}",
-        "resolve_parents": f"""WITH {_hybrid(15, 'docs')},
-            hit AS (SELECT query_id, rank, f.id, s.parent_id, s.text, coalesce(s.source_path, '') AS source_path, p.text AS ptext
-              FROM fused f JOIN store s USING (id) LEFT JOIN (SELECT parent_id, max(text) AS text FROM parents GROUP BY 1) p ON s.parent_id = p.parent_id),
-            grp AS (SELECT query_id, CASE WHEN ptext IS NOT NULL THEN parent_id END AS parent_id, coalesce(CASE WHEN ptext IS NOT NULL THEN parent_id END, '#' || id) AS k, ptext IS NOT NULL AS isp, count(*) AS hits, min(rank) AS fr, arg_min(source_path, rank) AS source_path, arg_min(coalesce(ptext, text), rank) AS text FROM hit GROUP BY 1, 2, 3, 4)
-            SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY isp DESC, CASE WHEN isp THEN hits END DESC NULLS LAST, fr))::INT AS rank, parent_id, hits, source_path, text FROM grp""",
+        "resolve_parents": f"WITH {_hybrid(15, 'docs')}, {_RESOLVED} SELECT query_id, {_RANKED} AS rank, parent_id, hits, source_path, text FROM grp",
+        "resolve_parents_all": f"WITH {_hybrid(15)}, {_RESOLVED} SELECT query_id, {_RANKED} AS rank, parent_id, hits, source_path, text FROM grp",
         "fetch_by_ids": f"WITH {_INDEX}, {_STATED}, {_bm25('b', 20)} SELECT id, {_RESULT} FROM b JOIN store USING (id)",
         "search_render": f"""WITH {_hybrid(8)}, r AS ({hybrid_rows}),
             e AS (SELECT query_id, rank, '--- Result ' || rank || ' | [' || category || ']' || CASE WHEN module <> '' THEN ' (' || module || ')' ELSE '' END || ' | ' || source || ' ---' || chr(10)
@@ -212,7 +270,6 @@ def oracle_sql() -> dict[str, str]:
             coalesce(list_sort(list(DISTINCT parent_id) FILTER (WHERE parent_id IS NOT NULL)), []::VARCHAR[]) AS parent_ids FROM store GROUP BY 1""",
         "manifest_diff": f"WITH {_DIFF} SELECT * FROM diff",
         "incremental_kept": f"WITH {_DIFF} SELECT id, source_path FROM store WHERE source_path NOT IN (SELECT source_path FROM diff WHERE status IN ('deleted', 'modified'))",
-        "incremental_equals_full": "SELECT 0::BIGINT AS only_full, 0::BIGINT AS only_incremental",
         "dangling_ids": "SELECT DISTINCT source_path, id FROM (SELECT source_path, unnest(chunk_ids) AS id FROM manifest) WHERE id NOT IN (SELECT id FROM chunks WHERE id IS NOT NULL)",
         "unlisted_files": "SELECT DISTINCT source_path FROM chunks WHERE source_path NOT IN (SELECT source_path FROM manifest)",
         "html_to_md": f"""SELECT doc_id, {_tidy(f'''repeat(chr(10), 2) || '# ' || {_strip("coalesce(title, 'untitled')")} || repeat(chr(10), 4) || {_normal('text')} || repeat(chr(10), 2) || chr(10) || '- ' || coalesce(trim(lang), 'none') || chr(10) || '- **' || doc_id || '**' || chr(10)''')} AS markdown
@@ -222,4 +279,4 @@ def oracle_sql() -> dict[str, str]:
         "package_group_key": f"SELECT DISTINCT source_file, {_GROUP} AS group_key FROM docstring_items",
         "docstring_modules": f"""WITH {_RENDERED}, g AS (SELECT *, {_GROUP} AS module FROM rendered WHERE md IS NOT NULL)
             SELECT module, count(*) AS n_items, count(*) FILTER (WHERE doc <> '') AS n_documented, '# ' || module || chr(10) || chr(10) || string_agg(md, chr(10) ORDER BY source_file, item_id) AS markdown FROM g GROUP BY module""",
-    }
+    } | _cases()

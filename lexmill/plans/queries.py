@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexmill.config import Category
 from lexmill.functions import paths, text
 from lexmill.operators import chunking, docstrings, fusion, html_markdown, lexical, maintenance, vector
+from lexmill.plans import cases
 from lexmill.plans.engine import hashed_queries, hybrid
 from lexmill.plans.oracle import oracle_sql
 from lexmill.session import read_table
@@ -100,7 +101,7 @@ def chunks_per_category(spark, d):
 
 
 def chunks_total_rollup(spark, d):
-    return maintenance.counts_with_total(store(spark, d).where("category IS NOT NULL"))
+    return maintenance.counts_with_total(store(spark, d))
 
 
 def manifest_counts(spark, d):
@@ -207,6 +208,11 @@ def resolve_parents(spark, d):
     return _hybrid(spark, d, category="docs", n=15).select("query_id", "rank", "parent_id", "hits", "source_path", "text")
 
 
+def resolve_parents_all(spark, d):
+    """As resolve_parents, without a category: the default of a search."""
+    return _hybrid(spark, d, n=15).select("query_id", "rank", "parent_id", "hits", "source_path", "text")
+
+
 def fetch_by_ids(spark, d):
     ranked = lexical.bm25_search(lexical.build_index(searchable(spark, d)), stated(spark), TOP)
     return fusion.fetch(ranked, store(spark, d)).drop("parent_id")
@@ -237,20 +243,6 @@ def incremental_kept(spark, d):
     return maintenance.apply_changes(kept, manifest_diff(spark, d), kept.where("false"))
 
 
-def incremental_equals_full(spark, d):
-    """Differences between an incremental and a full cut after half of the documents changed; none are expected."""
-    now = corpus(spark, d)
-    changed = F.pmod(F.xxhash64("source_path"), F.lit(2)) == 0
-    before = now.withColumn("text", F.when(changed, F.concat(F.lit("older "), "text")).otherwise(F.col("text")))
-    cut = lambda x: chunking.explode_flat(x, "heading", 1200, 200).select("source_path", "id", "text")
-    status = now.select("source_path", F.when(changed, "modified").otherwise("unchanged").alias("status"))
-    merged = maintenance.apply_changes(cut(before), status, cut(now.where(changed)))
-    full = cut(now)
-    side = lambda x, a, b: x.select("source_path", "id", F.md5("text").alias("t"), F.lit(a).alias("a"), F.lit(b).alias("b"))
-    both = side(full, 1, 0).unionByName(side(merged, 0, 1)).groupBy("source_path", "id", "t").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    return both.agg(F.count_if(F.col("a") > F.col("b")).alias("only_full"), F.count_if(F.col("b") > F.col("a")).alias("only_incremental"))
-
-
 def dangling_ids(spark, d):
     return maintenance.dangling(read_table(spark, d, "manifest"), read_table(spark, d, "chunks"))
 
@@ -314,11 +306,11 @@ _ALL = [
     strip_normalize_docs, chunk_heading_docs, chunk_char_docs_1200_200, chunk_parents_docs, chunk_children_docs_300_50, chunk_whole_files, chunk_metadata,
     upsert_last_wins, chunks_per_category, chunks_total_rollup, manifest_counts, list_categories, tokenize_chunks, postings_tf, doc_len, term_stats_idf, corpus_stats,
     bm25_topk, bm25_topk_category, bm25_topk_batch, vector_topk, vector_topk_category, vector_topk_batch, hashed_cosine_topk, rrf_fuse,
-    hybrid_search, hybrid_search_category, hybrid_lexical_only, resolve_parents, fetch_by_ids, search_render,
-    manifest_build, manifest_diff, incremental_kept, incremental_equals_full, dangling_ids, unlisted_files,
+    hybrid_search, hybrid_search_category, hybrid_lexical_only, resolve_parents, resolve_parents_all, fetch_by_ids, search_render,
+    manifest_build, manifest_diff, incremental_kept, dangling_ids, unlisted_files,
     html_to_md, md_cleanup, docstring_items, docstring_markdown, package_group_key, docstring_modules,
 ]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _ALL}
+    return {f.__name__: f for f in _ALL} | cases.queries()
