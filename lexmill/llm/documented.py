@@ -272,14 +272,27 @@ def powershell_functions(text: str) -> list[tuple]:
 _FINDERS = {"python": python_functions, "powershell": powershell_functions}
 
 
+def file_pairs(text: str, language: str) -> list[tuple]:
+    """(line, end line, kind, name, signature, docstring) of each documented function of a text that parses.
+
+    The grammar, which costs most, is asked only where there is something to keep or the scan could not make sense of the text.
+    """
+    try:
+        found = [(*item[:5], doc.strip()) for *item, doc, params in _FINDERS[language](text) if doc and not is_trivial(doc, item[3], params)]
+    except (IndexError, ValueError, RecursionError):
+        if syntax.failure(text, language) < 0:
+            raise
+        return []
+    return found if found and syntax.failure(text, language) < 0 else []
+
+
 def _pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         rows = []
         for file_id, path, text in zip(f["file_id"], f["source_file"], f["content"]):
-            finder = _FINDERS.get(syntax.language_of(path))
-            if finder is None or not text or pd.isna(file_id) or syntax.failure(text, syntax.language_of(path)) != -1:
-                continue
-            rows += [(file_id, line, end, kind, name, sig, doc.strip(), path) for line, end, kind, name, sig, doc, params in finder(text) if doc and not is_trivial(doc, name, params)]
+            language = syntax.language_of(path)
+            if language in _FINDERS and text and not pd.isna(file_id):
+                rows += [(file_id, *pair, path) for pair in file_pairs(text, language)]
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAIRS.split(", ")])
 
 

@@ -42,6 +42,10 @@ _BAD_BYTE_ESCAPE = re.compile(r"(?:\\\\)*\\x(?![0-9a-fA-F]{2})")
 _CLOSES = {"(": ")", "[": "]", "{": "}"}
 
 
+# Fixed values of the language's tokenizer: open brackets, and indentations with the outermost.
+MOST_BRACKETS, MOST_INDENTS = 200, 100
+
+
 def _bad_escapes(body: str, prefix: str) -> bool:
     if "\\" not in body or "r" in prefix:
         return False
@@ -178,6 +182,8 @@ def lex(text: str) -> tuple[list[str], list[int]]:
             elif col > top[0]:
                 if alt <= top[1]:
                     return fail(at)
+                if len(indents) >= MOST_INDENTS:
+                    return fail(at)
                 indents.append((col, alt))
                 put("INDENT", line)
             else:
@@ -268,6 +274,8 @@ def lex(text: str) -> tuple[list[str], list[int]]:
             return fail(at)
         op = m[0]
         if op in "([{":
+            if depth >= MOST_BRACKETS:
+                return fail(at)
             brackets.append(op)
             depth += 1
         elif op in ")]}":

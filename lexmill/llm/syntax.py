@@ -3,8 +3,9 @@
 A file's language is that of its extension.  The grammar must consume the
 whole text; the furthest failure gives line, column and, with what stands
 there, the cause.  Null content and unknown extensions give no verdict; an
-empty file is valid except as JSON; nesting beyond the recursion limit counts
-as not parsing (cause ``too_deep``).
+empty file is valid except as JSON.  Nesting so deep that the parser would need
+more than ``FRAMES`` frames (some 300,000 brackets) gives no verdict either:
+``valid`` is null and the cause ``too_deep``, and the rates count it apart.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ GRAMMARS = {
 # The languages of the extensions.
 EXTENSIONS = {".py": "python", ".pyi": "python", ".json": "json", ".toml": "toml", ".ps1": "powershell"}
 CAUSES = ("merge_conflict", "wrong_language", "truncated", "syntax", "too_deep")
-#: Frames a grammar may nest.
-DEPTH = 20_000
+#: Frames a grammar may nest; they are some 200 bytes each, on the heap.
+FRAMES = 1_000_000
 
 _MARKER = re.compile(r"(?m)^(<{7}|>{7})(?= |\r?$)|^={7}\r?$")
 
@@ -40,18 +41,37 @@ def language_of(path: str | None) -> str | None:
 
 
 def failure(text: str, language: str) -> int:
-    """Offset of the furthest failure, -1 if valid, -2 if nested too deep."""
-    if sys.getrecursionlimit() < DEPTH:
-        sys.setrecursionlimit(DEPTH)
+    """Offset of the furthest failure, -1 if valid, -2 if nested too deep to tell."""
+    if sys.getrecursionlimit() < FRAMES:
+        sys.setrecursionlimit(FRAMES)
     try:
         return GRAMMARS[language](text)
     except RecursionError:
         return -2
 
 
+_ENDLESS = re.compile(r"""[rbuf]{0,2}("{3}|'{3}|["'])|(@["'])""", re.I)
+
+
+def _open_to_the_end(rest: str) -> bool:
+    """Does a string that starts here never end?"""
+    m = _ENDLESS.match(rest)
+    if m[2]:
+        return f"\n{m[2][1]}@" not in rest
+    quote, at = m[1], m.end()
+    while at < len(rest):
+        if rest[at] == "\\":
+            at += 2
+        elif rest.startswith(quote, at):
+            return False
+        elif len(quote) == 1 and rest[at] == "\n":
+            return False
+        else:
+            at += 1
+    return True
+
+
 def cause_of(text: str, language: str, at: int) -> str:
-    if at == -2:
-        return "too_deep"
     markers = [(m.start(), m[0][:1]) for m in _MARKER.finditer(text)]
     opened = [p for p, c in markers if c == "<"]
     if opened and at >= opened[0] - 1 and any(c == ">" for _, c in markers):
@@ -59,17 +79,17 @@ def cause_of(text: str, language: str, at: int) -> str:
     if text.strip() and any(failure(text, other) == -1 for other in GRAMMARS if other != language and not (other == "toml" and language == "json")):
         return "wrong_language"
     rest = text[at:].strip()
-    if not rest or not text[at:].strip("\"' \n\r") or re.match(r"""(?:[rbuf]{0,2}(?:"{3}|'{3})|["'@])""", rest, re.I) and at >= len(text) - 4000:
+    if not rest or not text[at:].strip("\"' \n\r") or _ENDLESS.match(rest) and _open_to_the_end(rest):
         return "truncated"
     return "syntax"
 
 
-def verdict(text: str, language: str) -> tuple[bool, int, int, str | None]:
-    """(valid, line, column, cause) of one text; line and column are 0 for valid ones."""
+def verdict(text: str, language: str) -> tuple[bool | None, int, int, str | None]:
+    """(valid, line, column, cause) of one text; line and column are 0 for valid ones and those too deep to tell."""
     at = failure(text, language)
-    if at == -1:
-        return True, 0, 0, None
-    place = max(at, 0)
+    if at < 0:
+        return (True, 0, 0, None) if at == -1 else (None, 0, 0, "too_deep")
+    place = at
     head = text[:place].replace("\r\n", "\n").replace("\r", "\n")
     return False, head.count("\n") + 1, len(head) - head.rfind("\n"), cause_of(text, language, at)
 
@@ -125,7 +145,7 @@ def not_parsing(files: DataFrame, items: DataFrame) -> DataFrame:
 
 def rates(files: DataFrame, items: DataFrame) -> DataFrame:
     """repo, language, n_files, n_failed, rate and a count for each cause; earlier extractions count as Python."""
-    now = check_files(files).select("repo", "language", F.col("valid").alias("ok"), "cause")
+    now = check_files(files).select("repo", "language", F.coalesce("valid", F.lit(True)).alias("ok"), "cause")
     extension = F.lower(F.regexp_extract("source_file", r"(\.[^./]+)$", 1))
     language = F.lit(None).cast("string")
     for e, name in EXTENSIONS.items():

@@ -163,7 +163,23 @@ def test_powershell_that_does_not(text):
     assert powershell.furthest_failure(text) >= 0
 
 
-def test_verdicts_give_place_and_cause():
+def test_limits_of_nesting_are_those_of_the_compiler():
+    import ast
+
+    for n in (99, 100, 199, 200, 201):
+        blocks = "".join(" " * k + "if x:\n" for k in range(n)) + " " * n + "y\n"
+        for text in ("x = " + "(" * n + "1" + ")" * n + "\n", *([blocks] if n <= 100 else [])):
+            try:
+                ast.parse(text)
+                valid = True
+            except (SyntaxError, MemoryError, RecursionError) as e:
+                if not isinstance(e, SyntaxError):
+                    continue  # the compiler's own limit, not the language's
+                valid = False
+            assert (syntax.failure(text, "python") == -1) is valid, n
+
+
+def test_verdicts_give_place_and_cause(monkeypatch):
     assert syntax.verdict("x = 1\n", "python") == (True, 0, 0, None)
     assert syntax.verdict("a = 1\nb = = 2\n", "python") == (False, 2, 5, "syntax")
     assert syntax.verdict("def f(a,\n", "python")[3] == "truncated"
@@ -171,10 +187,19 @@ def test_verdicts_give_place_and_cause():
     assert syntax.verdict("x = 1\n<<<<<<< HEAD\ny\n=======\nz\n>>>>>>> b\n", "python")[1::2] == (2, "merge_conflict")
     assert syntax.verdict('[tool]\na-b = "c"\n', "python")[3] == "wrong_language"
     assert syntax.verdict("import os\ndef f(): pass\n", "json")[3] == "wrong_language"
-    assert syntax.verdict("[" * 30_000, "json")[3] == "too_deep"
+    assert syntax.verdict("[" * 100_000 + "]" * 100_000, "json")[0] is True
+    assert syntax.verdict("[" * 30_000, "json")[0] is False
+    late = "x = 1\n" * 2000
+    assert syntax.verdict('s = "abc\n' + late, "python")[3] == "syntax"
+    assert syntax.verdict('s = """abc\n' + late, "python")[3] == "truncated"  # however long the rest is
     assert [syntax.language_of(p) for p in ("a/B.PY", "a.pyi", "x.JSON", "py", None, "a.tar", "b.PS1")] == ["python", "python", "json", None, None, None, "powershell"]
 
 
+def test_too_deep_to_tell_is_no_failure(monkeypatch):
+    monkeypatch.setattr(syntax, "failure", lambda text, language: -2)
+    assert syntax.verdict("[", "json") == (None, 0, 0, "too_deep")
+
+
 FILES = [(1, "r", "a.py", "x = 1"), (1, "r", "a.py", "x = 1"), (2, "r", "b.py", "x ="), (2, "r", "b.py", "x ="), (3, "s", "c.json", ""), (4, "s", "d.py", ""), (5, "s", "e.toml", None), (6, None, "f.txt", "((("), (None, "r", "g.py", "("), (7, "s", "h.JSON", "{}")]
 ITEMS = [
     (10, "error", "unexpected EOF while parsing (a.py, line 3)"), (11, " Error ", "permission denied: raw/syntax.py"), (12, "ERROR", "'(' was never closed (m.py, line 1)"), (13, "error", None), (14, "function", "invalid syntax"),
