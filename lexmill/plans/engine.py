@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.config import Category, Settings
-from lexmill.operators import chunking, embedding, fusion, lexical, maintenance, vector
+from lexmill.operators import chunking, embedding, fusion, lexical, maintenance, vector, vector_index
 from lexmill.plans.store import SnapshotStore, union_all
 from lexmill.sources import files as source_files
 
@@ -78,9 +79,13 @@ class BuildReport:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, settings: Settings, embedder: embedding.Embedder | None = None):
-        """Without an ``embedder`` vectors are hashed term counts."""
-        self.spark, self.settings, self.embedder, self.store = spark, settings, embedder, SnapshotStore(spark, root)
+    def __init__(self, spark: SparkSession, root: str, settings: Settings, embedder: embedding.Embedder | None = None, inverted: bool = False):
+        """Without an ``embedder`` vectors are hashed term counts.
+
+        With ``inverted`` a build also writes an inverted file of the vectors, and searches without a category open only
+        as many of its cells as its builder measured to need; without it all vectors are compared, which is exact.
+        """
+        self.spark, self.settings, self.embedder, self.store, self.inverted = spark, settings, embedder, SnapshotStore(spark, root), inverted
 
     # ------------------------------------------------------------------ build
 
@@ -106,9 +111,15 @@ class Engine:
         w(snapshot, "term_stats", terms)
         w(snapshot, "corpus_stats", corpus)
         if self.embedder is None:
-            w(snapshot, "embeddings", vector.dense(vector.hash_features(posting)))
+            vectors = w(snapshot, "embeddings", vector.dense(vector.hash_features(posting)))
         else:
-            w(snapshot, "embeddings", self._embedded(chunks) if embeddings is None else embeddings)
+            vectors = w(snapshot, "embeddings", self._embedded(chunks) if embeddings is None else embeddings)
+        if self.inverted:
+            centres = vector_index.fit_centres(vectors)
+            placed = w(snapshot, "placed", vector_index.assign(vectors.select("id", "embedding"), centres))
+            w(snapshot, "cells", vector_index.packed(placed))
+            probes = vector_index.probes_for(placed, centres)
+            w(snapshot, "centres", self.spark.createDataFrame([(k, probes, c.tolist()) for k, c in enumerate(centres)], "cell int, probes int, centre array<double>"))
         w(snapshot, "manifest", maintenance.build_manifest(chunks, files))
         names = self.spark.createDataFrame([(c.name, k, c.description) for k, c in enumerate(self.settings.categories)], "category string, ord int, description string")
         counts = names.join(maintenance.category_counts(chunks), "category", "left").select("category", "ord", "description", F.coalesce("n", F.lit(0)).alias("n"))
@@ -164,9 +175,20 @@ class Engine:
         t = lambda name: self.store.table(name, at)
         category, many = category or None, fusion.fetch_size(n)
         words = lexical.bm25_search(self._index(at), queries, many, category)
-        near = hashed_near(t("embeddings"), queries, many, category) if self.embedder is None else dense_near(t("embeddings"), queries, self.embedder, many, category)
+        if self.inverted and category is None and self.store.has("centres", at):
+            near = self._near_in_cells(t("cells"), t("centres"), queries, many)
+        else:
+            near = hashed_near(t("embeddings"), queries, many, category) if self.embedder is None else dense_near(t("embeddings"), queries, self.embedder, many, category)
         return merge(words, near, t("chunks"), t("parents"), n)
 
+    def _near_in_cells(self, cells: DataFrame, centres: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+        rows = centres.orderBy("cell").collect()  # MOST_CELLS rows at most
+        known, probes = np.array([r["centre"] for r in rows]), max((r["probes"] for r in rows), default=1)
+        if self.embedder is None:
+            asked = hashed_queries(queries).select(F.col("id").alias("query_id"), "embedding")
+            return vector_index.search(cells, known, asked, n, probes).where("score > 0")
+        return vector_index.search(cells, known, embedding.embed(queries, self.embedder, "query", keep=["query_id"]), n, probes)
+
     def search(self, query: str, category: str | None = None, n: int = 8) -> DataFrame:
         return self.search_many(self.spark.createDataFrame([(0, query)], "query_id bigint, query string"), category, n).drop("query_id").orderBy("rank")
 

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-TABLES = ("chunks", "parents", "postings", "doc_stats", "term_stats", "corpus_stats", "embeddings", "manifest", "category_stats", "settings")
+TABLES = ("chunks", "parents", "postings", "doc_stats", "term_stats", "corpus_stats", "embeddings", "placed", "cells", "centres", "manifest", "category_stats", "settings")
 
 
 class SnapshotStore:
@@ -53,6 +53,9 @@ class SnapshotStore:
             stream.close()
         return self.spark.read.schema(schema).parquet(f"{at}/{name}").select(schema.names)
 
+    def has(self, name: str, at: str) -> bool:
+        return self._fs().exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{name}.schema"))
+
     def is_ready(self) -> bool:
         at = self.current()
         return at is not None and not self.table("chunks", at).isEmpty()

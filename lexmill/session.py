@@ -58,13 +58,18 @@ def drop_written(spark: SparkSession) -> int:
     return n
 
 
+#: Larger tables are not dealt out again: their own splits are enough work for each core.
+SPREAD_BYTES = 1 << 30
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """A table of a folder of Parquet tables.
 
-    ``spread`` deals the rows of a table that comes in fewer splits than there are cores (one file, one
-    row group) over all cores; tables of more splits are read as they are, without a shuffle.
+    ``spread`` deals the rows of a small table that comes in fewer splits than there are cores (one file, one
+    row group) over all cores; other tables are read as they are, without a shuffle.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if spread and df.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
-        df = df.repartition(cores)
+        if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SPREAD_BYTES:
+            df = df.repartition(cores)
     return df

@@ -188,6 +188,20 @@ def test_both_kinds_of_vectors_find_a_text_by_its_words(spark, tree, tmp_path):
     assert spark.read.json(str(tmp_path / "manifest")).count() == 4
 
 
+@pytest.mark.parametrize("embedder", [None, HashingEmbedder(64)])
+def test_a_search_through_the_inverted_file(spark, tree, embedder):
+    root, settings, index = tree
+    for k in range(40):
+        (root / f"notes/more{k}.txt").write_text(" ".join(f"word{(k * j) % 97}" for j in range(1, 30)))
+    engine = Engine(spark, index, settings, embedder, inverted=True)
+    engine.build_full()
+    q = spark.createDataFrame([(1, "plug the cable. then wait."), (2, "word3 word6 word9 word12")], "query_id bigint, query string")
+    exact = Engine(spark, index, settings, embedder).search_many(q, None, 3).collect()
+    got = engine.search_many(q, None, 3).collect()
+    assert [r["text"] for r in got if r["query_id"] == 1][0].startswith("## Setup")
+    assert len({(r["query_id"], r["text"]) for r in got} & {(r["query_id"], r["text"]) for r in exact}) >= len(exact) - 1
+
+
 def test_written_tables_can_be_dropped(spark):
     drop_written(spark)
     kept = materialize(spark.range(3), "x")
