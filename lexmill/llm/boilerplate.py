@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 #: Most pages the model is fitted on.
 TRAIN_PAGES = 2000
+#: Longer pages are not fitted on (they are decided all the same), so that the sample is bounded in bytes too.
+TRAIN_CHARS = 100_000
 #: Features rarer than this in the labelled lines get no weight.
 LEAST_SEEN = 3
 ROUNDS = 100
@@ -382,7 +384,7 @@ def is_page(path: Column) -> Column:
 
 def train(chunks: DataFrame, pages: int = TRAIN_PAGES) -> Model:
     """The model of at most ``pages`` saved pages, chosen by a hash of their id."""
-    saved = _pages(chunks)
+    saved = _pages(chunks).where(F.length("text") <= TRAIN_CHARS)
     n = saved.count()
     if not n:
         return fit([])

@@ -60,6 +60,25 @@ def test_held_out_lines(model):
     assert right / total > 0.97
 
 
+def test_a_site_and_a_language_outside_the_sample(data):
+    """Fitted on the pages of other sites in other languages; agreement with what the rules are sure of."""
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(f"{data}/chunks.parquet".replace("sf0.001", "sf0.01"), columns=["text", "source_path"]).to_pandas()
+    t = t[t["source_path"].fillna("").str.startswith("processed/web/") & t["text"].notna()].drop_duplicates()
+    site, german = t["source_path"].str.split("/").str[2], t["text"].str.count(r"\b(?:der|die|das|und|wird|nicht)\b") > 5
+    for out, least in ((site.str.startswith("velmora"), 0.97), (german, 0.8)):
+        model = boilerplate.fit(t["text"][~out].tolist())
+        both = wrong = missed = 0
+        for text in t["text"][out]:
+            lines = boilerplate.read_page(text)
+            for p, y in zip(boilerplate.marginals(lines, model), boilerplate.label_lines(lines)):
+                both += p >= 0.5 and y == 1
+                wrong += p >= 0.5 and y == 0
+                missed += p < 0.5 and y == 1
+        assert both / (both + wrong) > least and both / (both + missed) > least
+
+
 def exact(lines, model):
     """Marginals by summing over all labellings."""
     import itertools
@@ -110,6 +129,16 @@ def test_no_model_marks_nothing():
     assert boilerplate.beside("Home\n\nx", boilerplate.fit([])) == []
 
 
+def test_what_stands_far_behind_in_a_line_counts(model):
+    long = "plain words of a line that goes on " * 40
+    a, b = (boilerplate.features(boilerplate.read_page(long + end), 0) for end in ("one", "two"))
+    assert set(a) != set(b)
+
+
+def test_numbered_entries_are_steps(model):
+    assert boilerplate.label_lines(boilerplate.read_page("Some running text stands in front of it, and it ends here.\n\n1. Webinars\n2. Partners"))[1:] == [0, 0]
+
+
 def test_code_is_never_page_furniture(model):
     text = "# T\n\n```\nHome\n\nPrivacy\n```\n"
     assert boilerplate.beside(text, model) == []
