@@ -70,6 +70,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if spread and df.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
-        if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SPREAD_BYTES:
+        if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SPREAD_BYTES:
             df = df.repartition(cores)
     return df
