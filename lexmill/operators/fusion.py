@@ -11,6 +11,8 @@ RRF_K = 60
 #: Each ranking gives this many times the wanted results, but no more than FETCH_MOST.
 FETCH_FACTOR, FETCH_MOST = 3, 30
 MOST_RESULTS = 15
+#: Hits up to this number are sent to the stored chunks and parents; more of them are shuffled to meet.
+SENT_HITS = 50_000
 
 
 def wanted_results(n: int) -> int:
@@ -39,13 +41,18 @@ def rrf(first: DataFrame, second: DataFrame, n: int | None = None, k: int = RRF_
     return out.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-def fetch(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Ranked ids with their chunk; ids without a chunk vanish."""
+def small(hits: DataFrame, most: int | None) -> DataFrame:
+    """``hits`` marked for sending out if they are known to be at most SENT_HITS."""
+    return F.broadcast(hits) if most is not None and most <= SENT_HITS else hits
+
+
+def fetch(ranked: DataFrame, chunks: DataFrame, most: int | None = None) -> DataFrame:
+    """Ranked ids with their chunk; ids without a chunk vanish.  ``most`` bounds the number of ranked rows, where the caller knows."""
     rest = [F.coalesce(F.col(c), F.lit("")).alias(c) if c in ("category", "source", "source_path", "module") else F.col(c) for c in ("text", "category", "source", "source_path", "module", "parent_id")]
-    return ranked.join(chunks.select("id", "text", "category", "source", "source_path", "module", "parent_id"), "id").select("query_id", "rank", "id", *rest)
+    return chunks.select("id", "text", "category", "source", "source_path", "module", "parent_id").join(small(ranked, most), "id").select("query_id", "rank", "id", *rest)
 
 
-def resolve_parents(results: DataFrame, parents: DataFrame, enabled: bool = True) -> DataFrame:
+def resolve_parents(results: DataFrame, parents: DataFrame, enabled: bool = True, most: int | None = None) -> DataFrame:
     """Hits with a stored parent become that parent, once, with the data of their first hit.
 
     Parents come first, those with more hits before others, then in order of
@@ -56,7 +63,7 @@ def resolve_parents(results: DataFrame, parents: DataFrame, enabled: bool = True
     if not enabled:
         return results.select("query_id", "rank", "text", "category", "source", "source_path", "module", F.lit(None).cast("string").alias("parent_id"), F.lit(1).cast("bigint").alias("hits"))
     asked = results.select("parent_id").where("parent_id IS NOT NULL").distinct()
-    store = parents.join(asked, "parent_id", "left_semi").groupBy("parent_id").agg(F.max("text").alias("parent_text"))
+    store = parents.join(small(asked, most), "parent_id", "left_semi").groupBy("parent_id").agg(F.max("text").alias("parent_text"))
     joined = results.join(store, "parent_id", "left").withColumn("is_parent", F.col("parent_text").isNotNull())
     fields = ["category", "source", "source_path", "module"]
     key = F.when(F.col("is_parent"), F.col("parent_id")).otherwise(F.concat(F.lit("#"), F.col("id")))

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from lexmill.session import materialize
 
 #: Queries compared at once; with the vectors of a batch it bounds a task's memory.
 QUERY_BLOCK = 512
+#: Rows of a block.
+ROW_BLOCK = 4096
 QUERY_PARTITIONS = 8
 DIMENSIONS = 64
 
@@ -30,8 +34,8 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, n: int = 20, id_column:
     q = queries.select("query_id", F.col(vector).alias("qv")).where("qv IS NOT NULL")
     # Packed once into a table of known size: Spark broadcasts it only below its threshold and
     # otherwise pairs partitions, of which the queries have few.
-    packed = materialize(q.repartition(QUERY_PARTITIONS).mapInPandas(_pack, f"block_ids array<{query_type}>, block_vectors binary, width int"), "queries")
-    corpus = vectors.select(F.col(id_column).alias("id"), F.col(vector).alias("v")).where("v IS NOT NULL").mapInPandas(_pack_rows, f"ids array<{id_type}>, rows binary, width int")
+    packed = materialize(q.repartition(QUERY_PARTITIONS).mapInArrow(_packer("block_ids", "block_vectors", QUERY_BLOCK), f"block_ids array<{query_type}>, block_vectors binary, width int"), "queries")
+    corpus = vectors.select(F.col(id_column).alias("id"), F.col(vector).alias("v")).where("v IS NOT NULL").mapInArrow(_packer("ids", "rows", ROW_BLOCK), f"ids array<{id_type}>, rows binary, width int")
     # Blocks against blocks: the stated queries against all rows.
     pairs = corpus.withColumnRenamed("width", "w").crossJoin(packed)
     return rank(pairs.mapInPandas(_best(n), f"query_id {query_type}, id {id_type}, score double"), n)
@@ -47,12 +51,24 @@ def _pack_with(frames: Iterator[pd.DataFrame], key: str, value: str, names: list
                 yield pd.DataFrame({names[0]: [part[key].to_numpy()[ok]], names[1]: [m[ok].tobytes()], "width": [int(width)]}).astype({"width": "int32"})
 
 
-def _pack(frames):
-    yield from _pack_with(frames, "query_id", "qv", ["block_ids", "block_vectors"], QUERY_BLOCK)
+def _packer(ids: str, rows: str, size: int):
+    """Rows (key, vector) as blocks of up to ``size`` of one length; vectors with nulls, infinite or only zero numbers are left out."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lengths = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+            for width in np.unique(lengths[lengths > 0]):
+                of = b.filter(pa.array(lengths == width))
+                m = of.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, width)
+                ok = np.isfinite(m).all(axis=1) & (m != 0).any(axis=1)
+                m, keys = m[ok], of.column(0).filter(pa.array(ok))
+                for s in range(0, len(m), size):
+                    part = keys.slice(s, size)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), pa.array([m[s : s + size].tobytes()], pa.binary()), pa.array([width], pa.int32())], names=[ids, rows, "width"]
+                    )
 
-def _pack_rows(frames):
-    yield from _pack_with(frames, "id", "v", ["ids", "rows"], 4096)
+    return run
 
 
 def _best(n: int):

@@ -38,10 +38,17 @@ def _engine(spark: SparkSession, root: str) -> Engine:
     return Engine(spark, f"{root}/index", Settings((Category("docs", ("docs",), (".md",), "heading", 1200, 300, True, "Manual pages"),), root))
 
 
+_BUILT: dict[tuple[str, str], Engine] = {}
+
+
 def _built(spark: SparkSession, d: str) -> Engine:
+    """The engine over all documents of a folder of tables as files; built once a session, as long as its files are there."""
+    known = _BUILT.get((spark.sparkContext.applicationId, d))
+    if known is not None and known.store.current() is not None:
+        return known
     root = _folder(spark, "files")
     cli.write_texts(_documents(spark, d), root, "name", "text")
-    engine = _engine(spark, root)
+    engine = _BUILT[spark.sparkContext.applicationId, d] = _engine(spark, root)
     engine.build_full()
     return engine
 
@@ -82,7 +89,7 @@ def engine_manifest(spark, d):
 
 
 def engine_search(spark, d):
-    """The stated queries against the built index, without category, hits lifted to their parents."""
+    """The stated queries against the built index, without category, hits lifted to their parents; in a session that has the index only the search."""
     from lexmill.plans.queries import stated
 
     return _built(spark, d).search_many(stated(spark), None, 8).select("query_id", "rank", "parent_id", "hits", "source_path", "source", "module", "text")

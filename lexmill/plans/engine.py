@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexmill.config import Category, Settings
 from lexmill.operators import chunking, embedding, fusion, lexical, maintenance, vector, vector_index
 from lexmill.plans.store import SnapshotStore, union_all
+from lexmill.session import materialize
 from lexmill.sources import files as source_files
 
 CHUNK_COLUMNS = ["id", "text", "category", "source", "source_path", "module", "parent_id"]
@@ -58,9 +59,12 @@ def dense_near(embeddings: DataFrame, queries: DataFrame, embedder: embedding.Em
     return vector.cosine_topk(own, embedding.embed(queries, embedder, "query", keep=["query_id"]), n)
 
 
-def merge(words: DataFrame, near: DataFrame, chunks: DataFrame, parents: DataFrame, n: int, resolve: bool = True) -> DataFrame:
-    """query_id, rank, text, category, source, source_path, module, parent_id, hits of two rankings."""
-    return fusion.resolve_parents(fusion.fetch(fusion.rrf(words, near, n), chunks), parents, resolve)
+def merge(words: DataFrame, near: DataFrame, chunks: DataFrame, parents: DataFrame, n: int, resolve: bool = True, asked: int | None = None) -> DataFrame:
+    """query_id, rank, text, category, source, source_path, module, parent_id, hits of two rankings; ``asked`` is the number of queries, where known."""
+    most = None if asked is None else asked * n
+    hits = fusion.fetch(fusion.rrf(words, near, n), chunks, most)
+    # The hits are read twice, once for their parents' ids; written, they are searched for once.
+    return fusion.resolve_parents(materialize(hits, "hits") if resolve else hits, parents, resolve, most)
 
 
 def hybrid(index: lexical.KeywordIndex, vectors: DataFrame, chunks: DataFrame, parents: DataFrame, queries: DataFrame, n: int = 8, category: str | None = None, resolve: bool = True, keyword_only: bool = False) -> DataFrame:
@@ -68,7 +72,7 @@ def hybrid(index: lexical.KeywordIndex, vectors: DataFrame, chunks: DataFrame, p
     category, many = category or None, fusion.fetch_size(n)
     words = lexical.bm25_search(index, queries, many, category)
     near = words.where("false") if keyword_only else hashed_near(vectors, queries, many, category)
-    return merge(words, near, chunks, parents, n, resolve)
+    return merge(words, near, chunks, parents, n, resolve, queries.count())
 
 
 @dataclass
@@ -179,7 +183,7 @@ class Engine:
             near = self._near_in_cells(t("cells"), t("centres"), queries, many)
         else:
             near = hashed_near(t("embeddings"), queries, many, category) if self.embedder is None else dense_near(t("embeddings"), queries, self.embedder, many, category)
-        return merge(words, near, t("chunks"), t("parents"), n)
+        return merge(words, near, t("chunks"), t("parents"), n, asked=queries.count())
 
     def _near_in_cells(self, cells: DataFrame, centres: DataFrame, queries: DataFrame, n: int) -> DataFrame:
         rows = centres.orderBy("cell").collect()  # MOST_CELLS rows at most
