@@ -51,7 +51,11 @@ def corpus_size(doc_stats: DataFrame) -> DataFrame:
 
 def term_statistics(posting: DataFrame, size: DataFrame, epsilon: float = EPSILON) -> tuple[DataFrame, DataFrame]:
     """(term, df, idf) and the one-row corpus statistics."""
-    df = posting.groupBy("term").agg(F.count("*").alias("df"))
+    return weigh_terms(posting.groupBy("term").agg(F.count("*").alias("df")), size, epsilon)
+
+
+def weigh_terms(df: DataFrame, size: DataFrame, epsilon: float = EPSILON) -> tuple[DataFrame, DataFrame]:
+    """(term, df, idf) of (term, df), and the one-row corpus statistics."""
     raw = df.crossJoin(F.broadcast(size)).withColumn("raw_idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
     mean = raw.agg(F.avg("raw_idf").alias("avg_idf"))
     stats = size.crossJoin(mean)

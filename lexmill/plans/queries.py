@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.config import Category
 from lexmill.functions import paths, text
-from lexmill.operators import chunking, docstrings, fusion, html_markdown, lexical, maintenance, vector
+from lexmill.operators import chunking, docstrings, fusion, html_markdown, lexical, lexical_batch, maintenance, vector
 from lexmill.plans import cases
 from lexmill.plans.engine import hashed_queries, hybrid
 from lexmill.plans.oracle import oracle_sql
@@ -149,7 +149,7 @@ def bm25_topk_category(spark, d):
 
 
 def bm25_topk_batch(spark, d):
-    return lexical.bm25_search(lexical.build_index(searchable(spark, d)), title_queries(spark, d), TOP)
+    return lexical_batch.bm25_many(searchable(spark, d), title_queries(spark, d), TOP)
 
 
 def _vectors(spark, d):

@@ -146,3 +146,30 @@ def test_only_parents_of_hits_are_read(spark):
     parents = spark.createDataFrame([("p1", "old"), ("p1", "older"), ("p2", "x")], "parent_id string, text string")
     got = fusion.resolve_parents(hits, parents).collect()
     assert [(r["text"], r["parent_id"]) for r in got] == [("older", "p1")]
+
+
+@pytest.mark.parametrize("n,block", [(3, 4096), (20, 7), (1, 64)])
+def test_many_queries_rank_as_one_by_one(spark, monkeypatch, n, block):
+    """Equal texts, terms in most texts, query words twice, and blank, null and unknown queries; blocks of few texts."""
+    from lexmill.operators import lexical_batch
+
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(f"d{i:03d}", "x", " ".join(["the", *rng.choice(words, rng.integers(0, 30), p=np.arange(60, 0, -1) / 1830)]) if i % 9 else "") for i in range(300)]
+    docs += [(f"e{i}", "x", docs[i][2]) for i in range(100)]
+    asked = [(k, " ".join(rng.choice([*words, "the", "the", "absent"], rng.integers(1, 6)))) for k in range(40)] + [(40, ""), (41, None), (42, "absent"), (43, "the"), (44, "w1 w1 w1 the")]
+    df, q = spark.createDataFrame(docs, "id string, category string, text string").repartition(5), spark.createDataFrame(asked, "query_id bigint, query string")
+    monkeypatch.setattr(lexical_batch, "QUERY_TERMS", block)
+    got = sorted(map(tuple, lexical_batch.bm25_many(df, q, n).collect()))
+    assert got == sorted(map(tuple, lexical.bm25_search(lexical.build_index(df), q, n).collect())) and len(got) > 40
+    assert lexical_batch.bm25_many(df.where("false"), q, n).count() == 0 == lexical_batch.bm25_many(df, q.where("false"), n).count()
+
+
+def test_a_batch_shuffles_no_pairs_of_queries_and_texts(spark):
+    """What reaches the last shuffle is n rows of each query and task, however many texts match."""
+    from lexmill.plans import queries
+
+    docs = spark.range(2000).selectExpr("cast(id as string) AS id", "'x' AS category", "concat('same w', id % 50) AS text")
+    q = spark.range(100).selectExpr("id AS query_id", "concat('w', id % 50, ' w', id % 7) AS query")
+    found = queries.lexical_batch.bm25_many(docs, q, 2)
+    assert found.count() == 200 and not any(x in found._jdf.queryExecution().executedPlan().toString() for x in ("SortMergeJoin", "HashAggregate(keys=[query_id"))
