@@ -10,8 +10,12 @@ that the order does not depend on the plan.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,6 +27,8 @@ from lexmill.session import materialize
 # Fixed values of the ranking formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 6
+#: Texts whose words are counted at once.
+TEXTS = 2048
 
 
 @dataclass
@@ -33,14 +39,34 @@ class KeywordIndex:
     corpus_stats: DataFrame  # n_docs, avgdl, avg_idf: one row
 
 
-def postings(chunks: DataFrame, id_column: str = "id", text: str = "text") -> DataFrame:
-    """term, id, category, tf, dl: exploded tokens counted, with partial sums before the shuffle; dl is the text's number of tokens."""
+def postings(chunks: DataFrame, id_column: str = "id", text: str = "text", unique: bool = False) -> DataFrame:
+    """term, id, category, tf, dl: exploded tokens counted, with partial sums before the shuffle; dl is the text's number of tokens.
+
+    Where no id has two rows (``unique``) each text is counted by itself, without a shuffle.
+    """
+    if unique:
+        id_type = chunks.schema[id_column].dataType.simpleString()
+        own = chunks.select(F.col(id_column).alias("id"), F.col("category").cast("string").alias("category"), tokens(text).alias("words"))
+        return own.mapInArrow(_count_words, f"term string, id {id_type}, category string, tf int, dl int")
     # The length goes along with each token, so that the texts are taken apart once.
     sized = let(tokens(text), lambda t: F.transform(t, lambda x: F.struct(x.alias("term"), F.size(t).alias("dl"))))
     found = chunks.select(F.col(id_column).alias("id"), "category", F.explode_outer(sized).alias("x")).where("x IS NOT NULL")
     return found.groupBy("id", "category", F.col("x.term").alias("term"), F.col("x.dl").alias("dl")).agg(F.count("*").cast("int").alias("tf")).select("term", "id", "category", "tf", "dl")
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, TEXTS):
+            b = whole.slice(at, TEXTS)
+            lengths = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int32)
+            words = b.column(2).flatten().dictionary_encode()
+            n = max(1, len(words.dictionary))
+            key, tf = np.unique(np.repeat(np.arange(b.num_rows), lengths) * n + words.indices.to_numpy(), return_counts=True)
+            text = key // n
+            columns = [words.dictionary.take(pa.array(key % n)), b.column(0).take(pa.array(text)), b.column(1).take(pa.array(text)), pa.array(tf.astype(np.int32)), pa.array(lengths[text])]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "id", "category", "tf", "dl"])
+
+
 def document_lengths(chunks: DataFrame, id_column: str = "id", text: str = "text") -> DataFrame:
     return chunks.select(F.col(id_column).alias("id"), "category", F.size(tokens(text)).alias("dl"))
 

@@ -107,10 +107,9 @@ class Engine:
         w = self.store.write
         chunks = w(snapshot, "chunks", chunks, "category")
         parents = w(snapshot, "parents", parents)
-        index = lexical.build_index(chunks, written=False)
         # In the order of the terms, so that a search for some of them skips most of the table.
-        posting = w(snapshot, "postings", index.postings.repartition("term").sortWithinPartitions("term"))
-        lengths = w(snapshot, "doc_stats", index.doc_stats)
+        posting = w(snapshot, "postings", lexical.postings(chunks, unique=True).repartition("term").sortWithinPartitions("term"))
+        lengths = w(snapshot, "doc_stats", lexical.document_lengths(chunks))
         terms, corpus = lexical.term_statistics(posting, lexical.corpus_size(lengths))
         w(snapshot, "term_stats", terms)
         w(snapshot, "corpus_stats", corpus)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +15,12 @@ from lexmill.config import Category, Settings
 from lexmill.functions.paths import base_name, module_label, relative_path, suffix
 from lexmill.functions.text import decode
 
-#: Most files that are opened by name; beyond it a scan of the folders is cheaper for the driver.
+#: Most files whose names are gathered by the driver; beyond it tasks open the files they are given.
 MOST_PATHS = 10_000
+#: Bytes of files that one task reads. Spark counts each file as 4 MB at least, so that small files would be a task for every few.
+TASK_BYTES = 8 << 20
+#: Bytes of contents that a task hands on at once.
+BATCH_BYTES = 8 << 20
 FILE_SCHEMA = "path string, source_path string, mtime timestamp, length bigint, category string, source string, module string, text string"
 
 
@@ -48,7 +56,30 @@ def _rows(raw: DataFrame, settings: Settings, category: Category) -> DataFrame:
 
 
 def _raw(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    size = int(str(raw._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return raw.coalesce(max(spark.sparkContext.defaultParallelism, math.ceil(size / TASK_BYTES)))
+
+
+def _contents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (path, modificationTime, length) with the content of the file."""
+    from pyarrow import fs
+
+    systems = {"file": (fs.LocalFileSystem(), "")}
+    for f in frames:
+        group = (f["length"].cumsum() // BATCH_BYTES).to_numpy()
+        for _, part in f.groupby(group):
+            content = []
+            for path in part["path"]:
+                scheme, host, own = re.match(r"(?s)(?:([\w+.-]+):(?://([^/]*))?)?(.*)", path).groups()
+                key = "file" if scheme in (None, "file") else f"{scheme}://{host or ''}/"
+                if key not in systems:
+                    system, root = fs.FileSystem.from_uri(key)
+                    systems[key] = system, root.rstrip("/")
+                system, root = systems[key]
+                with system.open_input_stream(root + own, compression=None) as file:
+                    content.append(file.read())
+            yield part.assign(content=content)
 
 
 def category_files(spark: SparkSession, settings: Settings, category: Category) -> DataFrame:
@@ -63,11 +94,13 @@ def all_files(spark: SparkSession, settings: Settings) -> DataFrame:
 
 
 def some_files(spark: SparkSession, settings: Settings, wanted: DataFrame, most: int = MOST_PATHS) -> DataFrame:
-    """The files whose source_path is among ``wanted``; up to ``most`` of them are opened by name, more are picked from a scan."""
-    listed = all_files(spark, settings).select("source_path", "path", "category").join(wanted.select("source_path").distinct(), "source_path")
+    """The files whose source_path is among ``wanted``, and no others, are opened: up to ``most`` by name, more by the tasks they are dealt to."""
+    listed = all_files(spark, settings).select("source_path", "path", "category", "mtime", "length").join(wanted.select("source_path").distinct(), "source_path")
     rows = listed.select("path", "category").limit(most + 1).collect()  # names of files, most + 1 of them
     if len(rows) > most:
-        return all_files(spark, settings).join(wanted.select("source_path").distinct(), "source_path", "left_semi")
+        dealt = listed.select("path", "category", F.col("mtime").alias("modificationTime"), "length").repartition(8 * spark.sparkContext.defaultParallelism, "path")
+        opened = lambda c: dealt.where(F.col("category") == c).drop("category").mapInPandas(_contents, "path string, modificationTime timestamp, length bigint, content binary")
+        return reduce(DataFrame.unionByName, [_rows(opened(c.name), settings, c) for c in settings.categories])
     by: dict[str, list[str]] = {}
     for r in rows:
         by.setdefault(r["category"], []).append(r["path"])

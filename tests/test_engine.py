@@ -206,3 +206,25 @@ def test_written_tables_can_be_dropped(spark):
     drop_written(spark)
     kept = materialize(spark.range(3), "x")
     assert kept.count() == 3 and drop_written(spark) == 1 and drop_written(spark) == 0
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    """Spark alone makes a task of every few files, however small they are."""
+    for k in range(400):
+        (tmp_path / f"{k} é%20#.md").write_text(f"## Part\ntext {k}\r\n")
+    (tmp_path / "bytes.md").write_bytes(b"bad \xff")
+    settings = Settings((Category("docs", ("",), (".md",), "heading", 400, 100, True),), str(tmp_path))
+    files = all_files(spark, settings)
+    assert files.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism  # those of the scan and of the empty table in front of it
+    wanted = files.select("source_path").where("source_path NOT LIKE '1%'")
+    got = some_files(spark, settings, wanted, 3)  # more than are opened by name
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, files.where("source_path NOT LIKE '1%'").collect()))
+
+
+def test_words_of_unique_texts_are_counted_as_others(spark):
+    from lexmill.operators import lexical
+
+    df = spark.createDataFrame([("a", "x", "one two one"), ("b", None, "two"), ("c", "x", ""), ("d", "x", None)], "id string, category string, text string")
+    own = lexical.postings(df, unique=True)
+    assert sorted(map(tuple, own.collect()), key=repr) == sorted(map(tuple, lexical.postings(df).collect()), key=repr)
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
