@@ -139,12 +139,14 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True)
+    """Byte by byte of the numbers: their first bytes, then their second ones; those that are zero take no room."""
+    return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes, n: int, kind) -> np.ndarray:
     kind = np.dtype(kind)
-    return np.frombuffer(pa.decompress(data, n * kind.itemsize, codec="zstd", asbytes=True), kind)
+    planes = np.frombuffer(pa.decompress(data, n * kind.itemsize, codec="zstd", asbytes=True), np.uint8).reshape(kind.itemsize, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _points(b: _Batch) -> np.ndarray:
@@ -258,7 +260,9 @@ def _second_pass(ranks_of, parts: int, size: int, least: int, similarity: float,
             for low, high in zip(cuts, [*cuts[1:], len(part)]):
                 s = slice(low, high)
                 own, local = np.unique(doc[s], return_inverse=True)
-                rows.append((int(part[low]), len(token[s]), len(own), *map(_pack, (token[s], local.astype(np.uint16), place[s].astype(np.uint32), b.sig[own], b.size[own].astype(np.uint32), points[own]))))
+                # The partition says the rest of the division.
+                short = token[s] // np.uint64(parts) if part[low] < parts else token[s]
+                rows.append((int(part[low]), len(token[s]), len(own), *map(_pack, (short, local.astype(np.uint16), place[s].astype(np.uint32), b.sig[own], b.size[own].astype(np.uint32), points[own]))))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6])], names=["part", "n_tokens", "n_docs", "token", "local", "place", "sig", "size", "points"]
@@ -364,7 +368,8 @@ def _block_pairs(similarity: float, parts: int, node: int):
         tokens, docs, places, sigs, sizes, points, base = [], [], [], [], [], [], 0
         for r in table.to_pylist():
             n, m = r["n_tokens"], r["n_docs"]
-            tokens.append(_unpack(r["token"], n, np.uint64))
+            short = _unpack(r["token"], n, np.uint64)
+            tokens.append(short * np.uint64(parts) + np.uint64(r["part"]) if r["part"] < parts else short)
             docs.append(_unpack(r["local"], n, np.uint16).astype(np.int64) + base)
             places.append(_unpack(r["place"], n, np.uint32))
             sigs.append(_unpack(r["sig"], m, np.int64))
@@ -566,9 +571,12 @@ def similar_pairs(
     Members of large classes are paired part by part, so no key gathers a class.
     """
     pairs, members = class_pairs(items, id_column, text_column, similarity, shingle, least_words, parts, **limits)
-    members = materialize(members, "members")
+    pairs, members = materialize(pairs, "pairs"), materialize(members, "members")
+    # Most classes have one member and no pair; they go no further.
+    paired = pairs.select("id_a").union(pairs.select("id_b")).toDF("class_id").distinct().withColumn("paired", F.lit(True))
     counts = members.groupBy("class_id").agg(F.count("*").alias("n"), F.ceil(F.count("*") / CLASS_PART).cast("int").alias("parts"))
-    placed = members.join(counts, "class_id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    counts = materialize(counts.join(paired, "class_id", "left").where("n > 1 OR paired").drop("paired"), "counts")
+    placed = materialize(members.join(counts, "class_id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), "placed")
     cut = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     side = lambda x, y: placed.select(F.col("class_id").alias(f"class_{x}"), F.col("own").alias(f"own_{x}"), F.col("id").alias(y))
     parted = lambda x: counts.select(F.col("class_id").alias(f"class_{x}"), F.col("parts").alias(f"parts_{x}"))

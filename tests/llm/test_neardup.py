@@ -130,3 +130,23 @@ def test_a_very_long_text(spark):
     t = " ".join(f"w{i % 5000}" for i in range(200_000))
     df = spark.createDataFrame([("a", t), ("b", t + " end of it"), ("c", "one two " * 30)], "id string, text string")
     assert [(r["id_a"], r["id_b"]) for r in neardup.similar_pairs(df).collect()] == [("a", "b")]
+
+
+def test_members_without_a_pair_go_no_further(spark, monkeypatch):
+    """Of many texts only those that are like another one are written for the pairing of classes."""
+    written, real = {}, neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, name: written.setdefault(name, real(df, name)))
+    rows = corpus(12, 80, 2)
+    rows += [("copy", rows[0][1])]
+    got = neardup.similar_pairs(spark.createDataFrame(rows, "id string, text string")).collect()
+    assert {(r["id_a"], r["id_b"]) for r in got} == set(brute(rows))
+    like = {i for r in got for i in (r["id_a"], r["id_b"])}
+    assert {r["id"] for r in written["placed"].collect()} == like and len(like) < len(rows)
+
+
+@pytest.mark.parametrize("kind,most", [("uint8", 250), ("uint16", 250), ("uint32", 250), ("uint64", 1 << 40), ("int64", 1 << 62)])
+def test_numbers_are_packed_without_their_zero_bytes(kind, most):
+    x = np.random.default_rng(3).integers(0, most, 5000).astype(kind)
+    packed = neardup._pack(x)
+    assert np.array_equal(neardup._unpack(packed, len(x), kind), x) and neardup._unpack(neardup._pack(x[:0]), 0, kind).dtype == x.dtype
+    assert len(packed) < len(x) * np.log2(most) / 8 * 1.07 + 60
