@@ -10,11 +10,13 @@ can share.  Texts that could be similar meet in blocks:
    sketch (any common order is exact, this one keeps blocks small) and sends
    the leading ones, enough that two similar texts must share one, to the block
    of the shingle, with the text's size and point; those that occur in one text
-   only are left out;
+   only are left out.  A block is named by no more bits of its shingle's hash
+   than keep shingles apart at this size of the corpus; two that fall together
+   make one larger block;
 3. in small blocks pairs pass by size, by position of the shared shingle and by
    the bound of summed minima; large blocks go through an R-tree over their
-   points, blocks of more than ``CELL`` texts in cells of pairs of their parts,
-   so that no task holds more than two parts;
+   points in the same task, blocks of more than ``CELL`` texts are sent on in
+   cells of pairs of their parts, so that no task holds more than two parts;
 4. surviving pairs are verified on the texts.
 
 Texts with equal shingles are one class (copies of a text reach a block at most
@@ -58,6 +60,8 @@ HOT = 8192
 HOT_PARTS = 64
 #: Shingles of the texts whose leading ones go to one block partition.
 PART_SHINGLES = 4_000_000
+#: Bits of a block's name beyond those that number all shingles: one in 2^SPARE_BITS meets another one at most.
+SPARE_BITS = 6
 #: Words kept with their hash in a worker.
 WORD_CACHE = 500_000
 #: Most buckets (as a power of 2) of the filter in front of the verification: 8 MB of bits.
@@ -229,11 +233,12 @@ def _sum_sketch(batches):
         )
 
 
-def _second_pass(ranks_of, parts: int, size: int, least: int, similarity: float, hot: int):
+def _second_pass(ranks_of, parts: int, size: int, least: int, similarity: float, hot: int, bits: int):
     """For each block partition the leading shingles of the batch's texts, with the texts' sizes.
 
-    Entries of shingles of rank ``hot`` or more go to partitions behind the others.
+    Entries of shingles of rank ``hot`` or more go to partitions behind the others.  The last ``bits`` bits of a hash name the block.
     """
+    name = np.uint64((1 << bits) - 1)
 
     def run(batches):
         hashes, ranks, sent = _WordHashes(), np.frombuffer(ranks_of.value, np.uint8), set()
@@ -251,7 +256,7 @@ def _second_pass(ranks_of, parts: int, size: int, least: int, similarity: float,
             points, place = _points(b), np.arange(len(b.doc)) - b.starts[b.doc]
             # Rank 0 is a counter of 1: no other text has the shingle.
             lead = (place <= b.size[b.doc] - np.ceil(similarity * b.size[b.doc] - 1e-9)) & new[b.doc] & (b.rank > 0)
-            doc, token, place, rank = b.doc[lead], b.hash[lead], place[lead], b.rank[lead]
+            doc, token, place, rank = b.doc[lead], b.hash[lead] & name, place[lead], b.rank[lead]
             part = np.where(rank >= hot, parts + doc % HOT_PARTS, (token % np.uint64(parts)).astype(np.int64))
             order = np.argsort(part, kind="stable")
             doc, token, place, part = doc[order], token[order], place[order], part[order]
@@ -353,8 +358,16 @@ class _Need:
 _ENTRIES = "sig_a bigint, sig_b bigint, block bigint, size bigint, place bigint, point binary"
 
 
-def _block_pairs(similarity: float, parts: int, node: int):
-    """(sig_a, sig_b) of the pairs in small blocks; the entries (sig_a, block, size, place, point) of larger ones."""
+def _through_tree(points: np.ndarray, size: np.ndarray, place: np.ndarray, need: _Need) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions in a block that its tree, their sizes and places allow."""
+    for a, b in PointTree(points, size, need).pairs():
+        ok = np.minimum(size[a], size[b]) >= need.ratio * np.maximum(size[a], size[b])
+        ok &= np.minimum(size[a] - place[a], size[b] - place[b]) >= need.overlap(size[a], size[b])
+        yield a[ok], b[ok]
+
+
+def _block_pairs(similarity: float, parts: int, node: int, cell: int):
+    """(sig_a, sig_b) of the pairs in blocks of up to ``cell`` texts; the entries (sig_a, block, size, place, point) of larger ones."""
     need = _Need(similarity)
 
     def result(a, b, sig, block, size, place, points) -> pa.Table:
@@ -382,7 +395,8 @@ def _block_pairs(similarity: float, parts: int, node: int):
         doc, token, place = same[np.concatenate(docs)], np.concatenate(tokens), np.concatenate(places).astype(np.int64)
         if table.column("part")[0].as_py() >= parts:
             return result(none, none, sig[doc], token.astype(np.int64), size[doc], place, point[doc])
-        order = np.lexsort((doc, size[doc], token))
+        # Of a text's shingles that fall together the first one counts.
+        order = np.lexsort((place, doc, size[doc], token))
         doc, token, place = doc[order], token[order], place[order]
         kept = np.concatenate([[True], (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])])
         doc, token, place = doc[kept], token[kept], place[kept]
@@ -408,8 +422,13 @@ def _block_pairs(similarity: float, parts: int, node: int):
             a, b = code[s : s + 8192] // n, code[s : s + 8192] % n
             shared = np.minimum(point[a], point[b]).sum(axis=1, dtype=np.int64) + np.minimum(slack[a], slack[b])
             fits.append(shared >= need.overlap(size[a], size[b]))
-        code = code[np.concatenate(fits)]
-        large = np.flatnonzero(np.repeat(length > node, length))
+        found = [code[np.concatenate(fits)]]
+        for low, m in zip(starts[middle := (length > node) & (length <= cell)], length[middle]):
+            own = doc[low : low + m]
+            for a, b in _through_tree(point[own], size[own], place[low : low + m], need):
+                found.append(np.minimum(own[a], own[b]) * n + np.maximum(own[a], own[b]))
+        code = np.unique(np.concatenate(found))
+        large = np.flatnonzero(np.repeat(length > max(node, cell), length))
         return result(*_ordered(sig[code // n], sig[code % n]), sig[doc[large]], token[large].astype(np.int64), size[doc[large]], place[large], point[doc[large]])
 
     return run
@@ -420,7 +439,7 @@ def _ordered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tree_pairs(similarity: float):
-    """Pairs of the large blocks and cells of one group, each through its own tree.
+    """Pairs of the cells of one group, each through its own tree.
 
     A cell of two parts of a block finds pairs between them only; those within a part are found where it meets itself.
     """
@@ -437,13 +456,12 @@ def _tree_pairs(similarity: float):
         for low, high in zip(starts, [*starts[1:], len(block)]):
             s = slice(low, high)
             found = [np.zeros(0, np.int64)]
-            for a, b in PointTree(points[s], size[s], need).pairs():
+            for a, b in _through_tree(points[s], size[s], place[s], need):
                 a, b = a + low, b + low
-                ok = np.minimum(size[a], size[b]) >= need.ratio * np.maximum(size[a], size[b])
-                ok &= np.minimum(size[a] - place[a], size[b] - place[b]) >= need.overlap(size[a], size[b])
                 if i[low] != j[low]:
-                    ok &= own[a] != own[b]
-                found.append(a[ok] * len(sig) + b[ok])
+                    ok = own[a] != own[b]
+                    a, b = a[ok], b[ok]
+                found.append(a * len(sig) + b)
             code = np.concatenate(found)
             a, b = _ordered(sig[code // len(sig)], sig[code % len(sig)])
             out_a.append(a)
@@ -493,26 +511,28 @@ def class_pairs(
     partial = first.where("part IS NOT NULL").select("part", "counts").mapInArrow(_combine_sketches, "part int, counts binary")
     ranks = partial.repartition(SKETCH_PARTS // 8, "part").mapInArrow(_sum_sketch, "part int, ranks binary, total bigint").collect()  # 8 MB at most, whatever the data
     total = sum(r["total"] for r in ranks)
-    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PART_SHINGLES))
+    # A text's point goes to each partition that has a shingle of it, so there are no more partitions than are needed.
+    parts = parts or max(spark.sparkContext.defaultParallelism, math.ceil(total / PART_SHINGLES))
+    bits = min(HASH_BITS, max(1, math.ceil(math.log2(total + 1)) + SPARE_BITS))
     width = (1 << SKETCH_BITS) // SKETCH_PARTS
     by_part = {r["part"]: _unpack(bytes(r["ranks"]), width, np.uint8).tobytes() for r in ranks}
     ranks_of = spark.sparkContext.broadcast(b"".join(by_part.get(p, bytes(width)) for p in range(SKETCH_PARTS)))  # 8 MB
     # What other shingles add to a counter does not make a shingle hot.
-    blocks = texts.mapInArrow(_second_pass(ranks_of, parts, shingle, least_words, similarity, _rank(hot + 4 * total / (1 << SKETCH_BITS))), _BLOCKS)
-    entries = materialize(blocks.groupBy("part").applyInArrow(_block_pairs(similarity, parts, node), _ENTRIES), "entries")
+    blocks = texts.mapInArrow(_second_pass(ranks_of, parts, shingle, least_words, similarity, _rank(hot + 4 * total / (1 << SKETCH_BITS)), bits), _BLOCKS)
+    entries = materialize(blocks.groupBy("part").applyInArrow(_block_pairs(similarity, parts, node, cell), _ENTRIES), "entries")
     found = entries.where("block IS NULL").select("sig_a", "sig_b").unionByName(_large_blocks(entries, similarity, cell)).distinct()
     likely = found.join(classes.toDF("sig_a", "class_a"), "sig_a").join(classes.toDF("sig_b", "class_b"), "sig_b").select(F.least("class_a", "class_b").alias("id_a"), F.greatest("class_a", "class_b").alias("id_b"))
     return _verify(texts, materialize(likely, "likely"), shingle, similarity), members
 
 
 def _large_blocks(entries: DataFrame, similarity: float, cell: int) -> DataFrame:
-    """Pairs of the blocks that are too large to compare at once; a block of n texts is cut into n / cell parts."""
+    """Pairs of the blocks that are too large for one task; a block of n texts is cut into n / cell parts."""
     # A text comes once to a block from each task that met it.
     large = entries.where("block IS NOT NULL")
     groups = math.ceil(large.count() / TREE_ENTRIES)
     if not groups:
         return large.select("sig_a", "sig_b")
-    large = large.dropDuplicates(["block", "sig_a"])
+    large = large.groupBy("block", "sig_a").agg(F.min("place").alias("place"), F.any_value("size").alias("size"), F.any_value("point").alias("point"))
     sizes = large.groupBy("block").agg(F.ceil(F.count("*") / cell).cast("int").alias("n"))
     own = F.pmod(F.xxhash64("sig_a"), F.col("n")).cast("int")
     placed = large.join(sizes, "block").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))

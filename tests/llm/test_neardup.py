@@ -150,3 +150,34 @@ def test_numbers_are_packed_without_their_zero_bytes(kind, most):
     packed = neardup._pack(x)
     assert np.array_equal(neardup._unpack(packed, len(x), kind), x) and neardup._unpack(neardup._pack(x[:0]), 0, kind).dtype == x.dtype
     assert len(packed) < len(x) * np.log2(most) / 8 * 1.07 + 60
+
+
+def test_blocks_that_fit_a_task_are_not_sent_on(spark, monkeypatch):
+    written, real = {}, neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, name: written.setdefault(name, real(df, name)))
+    rows = corpus(5, 60)
+    got = {(r["id_a"], r["id_b"]) for r in neardup.similar_pairs(spark.createDataFrame(rows, "id string, text string"), node=1).collect()}
+    assert got == set(brute(rows)) and got
+    assert written["entries"].count() >= len(got) and written["entries"].where("block IS NOT NULL").count() == 0
+
+
+def test_points_do_not_multiply_with_the_partitions_of_a_shuffle(spark, monkeypatch):
+    used, real = [], neardup._second_pass
+    monkeypatch.setattr(neardup, "_second_pass", lambda *args: used.append(args[1]) or real(*args))
+    rows = corpus(7, 30)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        neardup.similar_pairs(spark.createDataFrame(rows, "id string, text string"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert used == [spark.sparkContext.defaultParallelism]
+
+
+@pytest.mark.parametrize("limits", [{}, {"hot": 1, "cell": 5}])
+def test_shingles_that_fall_together_lose_no_pair(spark, monkeypatch, limits):
+    """Blocks named by so few bits that each holds many shingles, several of one text as well."""
+    monkeypatch.setattr(neardup, "SPARE_BITS", -8)
+    rows = corpus(10, 60)
+    got = {(r["id_a"], r["id_b"]) for r in neardup.similar_pairs(spark.createDataFrame(rows, "id string, text string"), **limits).collect()}
+    assert got == set(brute(rows)) and got
