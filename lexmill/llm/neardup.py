@@ -58,8 +58,8 @@ CELL = 4096
 HOT = 8192
 #: Groups of blocks that such shingles' entries pass through unsorted.
 HOT_PARTS = 64
-#: Shingles of the texts whose leading ones go to one block partition.
-PART_SHINGLES = 4_000_000
+#: Shingles of the texts whose leading ones go to one block partition: the larger a partition, the fewer of them a text's point goes to.
+PART_SHINGLES = 8_000_000
 #: Bits of a block's name beyond those that number all shingles: one in 2^SPARE_BITS meets another one at most.
 SPARE_BITS = 6
 #: Words kept with their hash in a worker.
@@ -177,6 +177,28 @@ def _unpack_points(column) -> np.ndarray:
     return out
 
 
+class _PointRows:
+    """Points of many texts, two counts a byte; the few with larger counts are kept beside them."""
+
+    def __init__(self, n: int):
+        self.half, self.large, self.whole = np.zeros((n, GROUPS // 2), np.uint8), np.zeros(0, np.int64), np.zeros((0, GROUPS), np.uint8)
+
+    def put(self, at: int, points: np.ndarray) -> None:
+        """Rows come in order."""
+        self.half[at : at + len(points)] = points[:, ::2] << 4 | points[:, 1::2] & 15
+        if len(large := np.flatnonzero((points > 15).any(axis=1))):
+            self.large, self.whole = np.append(self.large, large + at), np.concatenate([self.whole, points[large]])
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        out, half = np.empty((len(rows), GROUPS), np.uint8), self.half[rows]
+        out[:, ::2], out[:, 1::2] = half >> 4, half & 15
+        if len(self.large):
+            at = np.minimum(np.searchsorted(self.large, rows), len(self.large) - 1)
+            hit = self.large[at] == rows
+            out[hit] = self.whole[at[hit]]
+        return out
+
+
 _FIRST = "sig bigint, id string, part int, counts binary"
 
 
@@ -378,23 +400,26 @@ def _block_pairs(similarity: float, parts: int, node: int, cell: int):
         return pa.table({"sig_a": both(a, sig), "sig_b": both(b, nothing), "block": both(none, block), "size": both(none, size), "place": both(none, place), "point": packed})
 
     def run(table: pa.Table) -> pa.Table:
-        tokens, docs, places, sigs, sizes, points, base = [], [], [], [], [], [], 0
-        for r in table.to_pylist():
+        tokens, docs, places, sigs, sizes, base = [], [], [], [], [], 0
+        points = _PointRows(sum(table.column("n_docs").to_pylist()))
+        for k in range(table.num_rows):
+            r = {c: table.column(c)[k].as_py() for c in table.column_names}
             n, m = r["n_tokens"], r["n_docs"]
             short = _unpack(r["token"], n, np.uint64)
             tokens.append(short * np.uint64(parts) + np.uint64(r["part"]) if r["part"] < parts else short)
-            docs.append(_unpack(r["local"], n, np.uint16).astype(np.int64) + base)
+            docs.append(_unpack(r["local"], n, np.uint16).astype(np.int32) + np.int32(base))
             places.append(_unpack(r["place"], n, np.uint32))
             sigs.append(_unpack(r["sig"], m, np.int64))
             sizes.append(_unpack(r["size"], m, np.uint32))
-            points.append(_unpack(r["points"], m * GROUPS, np.uint8).reshape(-1, GROUPS))
+            points.put(base, _unpack(r["points"], m * GROUPS, np.uint8).reshape(-1, GROUPS))
             base += m
         none = np.zeros(0, np.int64)
         sig, first, same = np.unique(np.concatenate(sigs), return_index=True, return_inverse=True)
-        size, point = np.concatenate(sizes)[first].astype(np.int64), np.concatenate(points)[first]
+        size, point = np.concatenate(sizes)[first].astype(np.int64), lambda own: points[first[own]]
         doc, token, place = same[np.concatenate(docs)], np.concatenate(tokens), np.concatenate(places).astype(np.int64)
+        del tokens, docs, places, sigs, sizes, same
         if table.column("part")[0].as_py() >= parts:
-            return result(none, none, sig[doc], token.astype(np.int64), size[doc], place, point[doc])
+            return result(none, none, sig[doc], token.astype(np.int64), size[doc], place, point(doc))
         # Of a text's shingles that fall together the first one counts.
         order = np.lexsort((place, doc, size[doc], token))
         doc, token, place = doc[order], token[order], place[order]
@@ -417,19 +442,20 @@ def _block_pairs(similarity: float, parts: int, node: int, cell: int):
                 found.append(np.unique(np.minimum(a, b)[ok] * n + np.maximum(a, b)[ok]))
             step += 1
         code = np.unique(np.concatenate(found)) if found else none
-        slack, fits = size - point.sum(axis=1, dtype=np.int64), [np.zeros(0, bool)]
+        fits = [np.zeros(0, bool)]
         for s in range(0, len(code), 8192):
             a, b = code[s : s + 8192] // n, code[s : s + 8192] % n
-            shared = np.minimum(point[a], point[b]).sum(axis=1, dtype=np.int64) + np.minimum(slack[a], slack[b])
+            x, y = point(a), point(b)
+            shared = np.minimum(x, y).sum(axis=1, dtype=np.int64) + np.minimum(size[a] - x.sum(axis=1, dtype=np.int64), size[b] - y.sum(axis=1, dtype=np.int64))
             fits.append(shared >= need.overlap(size[a], size[b]))
         found = [code[np.concatenate(fits)]]
         for low, m in zip(starts[middle := (length > node) & (length <= cell)], length[middle]):
             own = doc[low : low + m]
-            for a, b in _through_tree(point[own], size[own], place[low : low + m], need):
+            for a, b in _through_tree(point(own), size[own], place[low : low + m], need):
                 found.append(np.minimum(own[a], own[b]) * n + np.maximum(own[a], own[b]))
         code = np.unique(np.concatenate(found))
         large = np.flatnonzero(np.repeat(length > max(node, cell), length))
-        return result(*_ordered(sig[code // n], sig[code % n]), sig[doc[large]], token[large].astype(np.int64), size[doc[large]], place[large], point[doc[large]])
+        return result(*_ordered(sig[code // n], sig[code % n]), sig[doc[large]], token[large].astype(np.int64), size[doc[large]], place[large], point(doc[large]))
 
     return run
 

@@ -181,3 +181,14 @@ def test_shingles_that_fall_together_lose_no_pair(spark, monkeypatch, limits):
     rows = corpus(10, 60)
     got = {(r["id_a"], r["id_b"]) for r in neardup.similar_pairs(spark.createDataFrame(rows, "id string, text string"), **limits).collect()}
     assert got == set(brute(rows)) and got
+
+
+def test_points_of_a_task_take_half_a_byte_a_count():
+    x = np.random.default_rng(4).integers(0, 16, (90, neardup.GROUPS)).astype(np.uint8)
+    x[[3, 40, 89], 5], x[41] = 16, 255
+    rows = neardup._PointRows(90)
+    for at in (0, 30, 60):
+        rows.put(at, x[at : at + 30])
+    some = np.array([89, 3, 3, 40, 0, 41, 88])
+    assert np.array_equal(rows[np.arange(90)], x) and np.array_equal(rows[some], x[some]) and rows[some[:0]].shape == (0, neardup.GROUPS)
+    assert rows.half.nbytes == x.nbytes // 2 and len(rows.large) == 4
