@@ -60,6 +60,8 @@ HOT = 8192
 HOT_PARTS = 64
 #: Shingles of the texts whose leading ones go to one block partition: the larger a partition, the fewer of them a text's point goes to.
 PART_SHINGLES = 8_000_000
+#: Entries of a block partition that are sorted at once, on average.
+SLICE = 500_000
 #: Bits of a block's name beyond those that number all shingles: one in 2^SPARE_BITS meets another one at most.
 SPARE_BITS = 6
 #: Words kept with their hash in a worker.
@@ -399,6 +401,36 @@ def _block_pairs(similarity: float, parts: int, node: int, cell: int):
         packed = pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(_pack_points(points), pa.binary())])
         return pa.table({"sig_a": both(a, sig), "sig_b": both(b, nothing), "block": both(none, block), "size": both(none, size), "place": both(none, place), "point": packed})
 
+    def blocks(doc, token, place, size, point):
+        """Pairs of small blocks by size and place, pairs of larger ones that their tree lets through, and the entries of those that are too large."""
+        n = len(size)
+        # Of a text's shingles that fall together the first one counts.
+        order = np.lexsort((place, doc, size[doc], token))
+        doc, token, place = doc[order], token[order], place[order]
+        kept = np.concatenate([[True], (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])])
+        doc, token, place = doc[kept], token[kept], place[kept]
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        length = np.diff(np.append(starts, len(token)))
+        found, passed = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        last = np.repeat(starts + length, length)
+        now = np.flatnonzero(np.repeat((length > 1) & (length <= node), length))
+        step = 1
+        while len(now):
+            now = now[now + step < last[now]]
+            # Sizes rise within a block: once the partner is too long, so are all after it.
+            now = now[size[doc[now]] >= need.ratio * size[doc[now + step]]]
+            a, b = doc[now], doc[now + step]
+            ok = np.minimum(size[a] - place[now], size[b] - place[now + step]) >= need.overlap(size[a], size[b])
+            if ok.any():
+                found.append(np.unique(np.minimum(a, b)[ok] * n + np.maximum(a, b)[ok]))
+            step += 1
+        for low, m in zip(starts[middle := (length > node) & (length <= cell)], length[middle]):
+            own = doc[low : low + m]
+            for a, b in _through_tree(point(own), size[own], place[low : low + m], need):
+                passed.append(np.minimum(own[a], own[b]) * n + np.maximum(own[a], own[b]))
+        large = np.flatnonzero(np.repeat(length > max(node, cell), length))
+        return np.unique(np.concatenate(found)), np.unique(np.concatenate(passed)), (doc[large], token[large], place[large])
+
     def run(table: pa.Table) -> pa.Table:
         tokens, docs, places, sigs, sizes, base = [], [], [], [], [], 0
         points = _PointRows(sum(table.column("n_docs").to_pylist()))
@@ -420,42 +452,25 @@ def _block_pairs(similarity: float, parts: int, node: int, cell: int):
         del tokens, docs, places, sigs, sizes, same
         if table.column("part")[0].as_py() >= parts:
             return result(none, none, sig[doc], token.astype(np.int64), size[doc], place, point(doc))
-        # Of a text's shingles that fall together the first one counts.
-        order = np.lexsort((place, doc, size[doc], token))
-        doc, token, place = doc[order], token[order], place[order]
-        kept = np.concatenate([[True], (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])])
-        doc, token, place = doc[kept], token[kept], place[kept]
-        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        length = np.diff(np.append(starts, len(token)))
         n = len(sig)
-        found: list[np.ndarray] = []
-        last = np.repeat(starts + length, length)
-        now = np.flatnonzero(np.repeat((length > 1) & (length <= node), length))
-        step = 1
-        while len(now):
-            now = now[now + step < last[now]]
-            # Sizes rise within a block: once the partner is too long, so are all after it.
-            now = now[size[doc[now]] >= need.ratio * size[doc[now + step]]]
-            a, b = doc[now], doc[now + step]
-            ok = np.minimum(size[a] - place[now], size[b] - place[now + step]) >= need.overlap(size[a], size[b])
-            if ok.any():
-                found.append(np.unique(np.minimum(a, b)[ok] * n + np.maximum(a, b)[ok]))
-            step += 1
-        code = np.unique(np.concatenate(found)) if found else none
-        fits = [np.zeros(0, bool)]
+        found, passed, rest = [none], [none], [(none, none.astype(np.uint64), none)]
+        # All entries of a block are in one slice, so that only a slice at a time is sorted.
+        slices = -(-len(token) // SLICE)
+        of = (token // np.uint64(parts) % np.uint64(slices)).astype(np.int32)
+        for one in range(slices):
+            own = np.flatnonzero(of == one)
+            if len(own):
+                for to, x in zip((found, passed, rest), blocks(doc[own], token[own], place[own], size, point)):
+                    to.append(x)
+        code, fits = np.unique(np.concatenate(found)), [np.zeros(0, bool)]
         for s in range(0, len(code), 8192):
             a, b = code[s : s + 8192] // n, code[s : s + 8192] % n
             x, y = point(a), point(b)
             shared = np.minimum(x, y).sum(axis=1, dtype=np.int64) + np.minimum(size[a] - x.sum(axis=1, dtype=np.int64), size[b] - y.sum(axis=1, dtype=np.int64))
             fits.append(shared >= need.overlap(size[a], size[b]))
-        found = [code[np.concatenate(fits)]]
-        for low, m in zip(starts[middle := (length > node) & (length <= cell)], length[middle]):
-            own = doc[low : low + m]
-            for a, b in _through_tree(point(own), size[own], place[low : low + m], need):
-                found.append(np.minimum(own[a], own[b]) * n + np.maximum(own[a], own[b]))
-        code = np.unique(np.concatenate(found))
-        large = np.flatnonzero(np.repeat(length > max(node, cell), length))
-        return result(*_ordered(sig[code // n], sig[code % n]), sig[doc[large]], token[large].astype(np.int64), size[doc[large]], place[large], point(doc[large]))
+        code = np.unique(np.concatenate([code[np.concatenate(fits)], *passed]))
+        doc, token, place = map(np.concatenate, zip(*rest))
+        return result(*_ordered(sig[code // n], sig[code % n]), sig[doc], token.astype(np.int64), size[doc], place, point(doc))
 
     return run
 

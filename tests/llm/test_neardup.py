@@ -192,3 +192,11 @@ def test_points_of_a_task_take_half_a_byte_a_count():
     some = np.array([89, 3, 3, 40, 0, 41, 88])
     assert np.array_equal(rows[np.arange(90)], x) and np.array_equal(rows[some], x[some]) and rows[some[:0]].shape == (0, neardup.GROUPS)
     assert rows.half.nbytes == x.nbytes // 2 and len(rows.large) == 4
+
+
+@pytest.mark.parametrize("limits", [{}, {"node": 2, "cell": 3}])
+def test_a_partition_in_slices_finds_the_same(spark, monkeypatch, limits):
+    rows = corpus(11, 60)
+    monkeypatch.setattr(neardup, "SLICE", 40)
+    got = {(r["id_a"], r["id_b"]) for r in neardup.similar_pairs(spark.createDataFrame(rows, "id string, text string"), parts=2, **limits).collect()}
+    assert got == set(brute(rows)) and got
